@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from strandwork.llm.components import connected_components
 from strandwork.llm.frequent import most_frequent
 from strandwork.llm.leaks import find_leaks
+from strandwork.llm.packing import fill_containers, token_pieces
 from strandwork.llm.seen import seen_before, with_truth
+from strandwork.llm.subjects import subject_areas
 from strandwork.llm.topn import top_n_per_group
 from strandwork.shared import Scratch, lookup
 from strandwork.sources.tables import table
@@ -79,6 +81,27 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_counts(spark, folder).select("seq")
 
 
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = token_pieces(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", 2048)
+    return fill_containers(pieces, "doc_id", 2048)
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "subject_labels", "doc_id", "subject")
+    return subject_areas(docs, table(spark, folder, "subjects", "subject"), labels)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_scores(spark, folder).select("doc_id", "subject")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents each subject has, and its share of all documents."""
+    posts = table(spark, folder, "documents", "doc_id").count()
+    found = p8_scores(spark, folder).groupBy("subject").agg(F.count("*").alias("documents"))
+    return found.withColumn("share", F.col("documents") / F.lit(posts))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     posts, items = table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "text")
     return find_leaks(posts, items, "doc_id", "text", "item_id", "text").select("doc_id", "item_id")
@@ -91,7 +114,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_counts": p4_counts,
     "p3_found": p3_found,
+    "p6_containers": p6_containers,
     "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_shares": p8_shares,
 }
 
 KEY = r"nullif(upper(regexp_replace(seq, '^\s+|\s+$', '', 'g')), '')"
