@@ -52,7 +52,7 @@ def most_frequent(df: DataFrame, value: Column, record: str, n: int, hashes: Has
     """
     values = df.select(value.alias("value"), F.col(record).alias("record")).where("value is not null and record is not null")
     scratch = Scratch(df.sparkSession)
-    counts = scratch.keep(bucket_counts(values, "value", hashes).coalesce(1))
+    counts = scratch.keep(bucket_counts(values, "value", hashes))
     largest = [row[0] for row in counts.where("hash = 0").orderBy(F.desc("rows")).limit(n).select("rows").collect()]
     least = largest[-1] if len(largest) == n else 1
     while True:
