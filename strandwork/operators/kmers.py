@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.functions.dna import canonical, kmers
+from strandwork.shared import Scratch
 
 
 def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
     """(kmer, n): how often each canonical k-mer occurs in `reads.seq`; k-mers with other letters than ACGT don't count.
 
-    Counts are combined in every task before the shuffle, so a k-mer of very many reads is no burden.
+    Counts are combined in every task before the shuffle, so a k-mer of very many reads is no burden; the two
+    strands of a k-mer meet in a second, smaller count.
     """
-    all_ = reads.where(F.length("seq") >= k).select(F.explode(kmers(F.col("seq"), k)).alias("kmer"))
-    pure = all_.where(~F.col("kmer").rlike("[^ACGT]"))
-    return pure.select(canonical(F.col("kmer")).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    all_ = reads.where(F.length("seq") >= k).select(F.explode(kmers(F.col("seq"), k)).alias("run"))
+    counts = all_.groupBy("run").agg(F.count("*").alias("n")).where(~F.col("run").rlike("[^ACGT]"))
+    return counts.groupBy(canonical(F.col("run")).alias("kmer")).agg(F.sum("n").alias("n"))
 
 
 def kmer_spectrum(counts: DataFrame) -> DataFrame:
@@ -32,7 +34,7 @@ def kmer_arcs(reads: DataFrame, k: int, cutoff: float) -> DataFrame:
 
     An arc is a run of k+1 bases; its two k-mers are checked against the solid ones by joins on the k-mer.
     """
-    solid = solid_kmers(kmer_counts(reads, k), cutoff).select("kmer")
+    solid = Scratch(reads.sparkSession).keep(solid_kmers(kmer_counts(reads, k), cutoff).select("kmer"))
     runs = kmer_counts(reads, k + 1).withColumnRenamed("kmer", "run")
     other = F.reverse(F.translate("run", "ACGT", "TGCA"))
     oriented = runs.select("run", "n").unionByName(runs.where(F.col("run") != other).select(other.alias("run"), "n"))
