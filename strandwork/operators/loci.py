@@ -13,28 +13,35 @@ from strandwork.shared import Scratch, lookup
 def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node_id, locus_id): each contig of `nodes` with the smallest contig it is connected to, signs ignored.
 
-    Every round each contig points to the least it knows of (its neighbours' and its own label), then labels jump
-    over labels; a round is a join and an aggregate that each task combines first. Rounds end when no label changes.
+    In every round a contig joins that one of its neighbours and itself which comes first in an order drawn anew,
+    and the connections are carried over to what is left; a fixed part of the contigs goes in each round, whatever
+    the shape, and a round moves only the connections that are left. Then each contig follows its joins.
     """
     scratch = Scratch(nodes.sparkSession)
     ids = scratch.keep(nodes.select("node_id").distinct())
     ends = pairs.select(F.abs("src").alias("a"), F.abs("dst").alias("b")).where("a <> b")
     for end in ("a", "b"):
-        ends = lookup(scratch.keep(ends), ids.withColumnRenamed("node_id", end), end, "left_semi")
-    edges = scratch.keep(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = scratch.keep(ids.withColumn("locus_id", F.col("node_id")))
-    while True:
-        known = labels.select(F.col("node_id").alias("a"), "locus_id")
-        heard = lookup(edges, known, "a").groupBy(F.col("b").alias("node_id")).agg(F.min("locus_id").alias("heard"))
-        nearer = scratch.keep(labels.join(heard, "node_id", "left").select("node_id", "locus_id", F.least("locus_id", "heard").alias("to")))
-        # the label's own label, which may be smaller still
-        jump = nearer.groupBy(F.col("locus_id").alias("to")).agg(F.min("to").alias("over")).where("over < to")
-        moved = lookup(nearer, jump, "to").select("node_id", F.coalesce("over", "to").alias("locus_id"), (F.coalesce("over", "to") != F.col("locus_id")).alias("changed"))
-        after = scratch.keep(moved)
-        scratch.drop(labels, nearer)
-        labels = after
-        if labels.where("changed").isEmpty():
-            return labels.select("node_id", "locus_id")
+        ends = ends.join(ids.withColumnRenamed("node_id", end), end, "left_semi")
+    edges = scratch.keep(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    joins: list[DataFrame] = []
+    while not edges.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(joins)), c), F.col(c).alias("id"))  # noqa: B023, E731
+        near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = near.groupBy("a").agg(F.least(F.min(rank("b")), F.first(rank("a")))["id"].alias("to")).where("a <> to")
+        joined = scratch.keep(first)
+        moved = edges.join(joined.withColumnRenamed("to", "x"), "a", "left").join(joined.select(F.col("a").alias("b"), F.col("to").alias("y")), "b", "left")
+        moved = moved.select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).where("x <> y")
+        after = scratch.keep(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        scratch.drop(edges)
+        edges = after
+        joins.append(joined)
+    labels = ids.withColumn("label", F.col("node_id"))
+    for joined in joins:
+        moved = labels.join(joined.withColumnRenamed("a", "label"), "label", "left")
+        labels = moved.select("node_id", F.coalesce("to", "label").alias("label"))
+    labels = scratch.keep(labels)
+    least = labels.groupBy("label").agg(F.min("node_id").alias("locus_id"))
+    return lookup(labels, least, "label").select("node_id", "locus_id")
 
 
 def extended(loci: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def connection_weights(merged: DataFrame, direct: DataFrame, paired: DataFrame,
     """`merged` with its weight: 1 per direct read and a Gaussian score per pair, `cap` at most."""
     key = [F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")]
     ones = direct.groupBy(*key).agg(F.count("*").cast("double").alias("w"))
-    fits = paired.where("score_at is not null").select(*key, "score_at").join(merged.select("src", "dst", F.floor("distance").alias("d")), ["src", "dst"])
+    fits = paired.where("score_at is not null").select(*key, "score_at").join(merged.select("src", "dst", F.floor(F.round("distance", 6)).alias("d")), ["src", "dst"])
     score = pair_score(F.col("score_at.insert"), F.col("d") - F.col("score_at.places"), F.col("score_at.variance"))
     scores = fits.groupBy("src", "dst").agg(F.sum(score).alias("w"))
     weight = ones.unionByName(scores).groupBy("src", "dst").agg(F.least(F.lit(cap), F.sum("w")).alias("weight"))

@@ -146,7 +146,7 @@ def paired_connections(spark, folder):
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 4) for c in columns})
+    return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
 def merged_connections(spark, folder):
@@ -271,15 +271,15 @@ SQL = {
     "paired_connections": f"""{with_('n', 'occ', 'reads', 'lib', 'usable', 'paired')} select src, dst, count(*) as pairs, min(distance) as nearest,
         max(distance) as farthest, sum(variance) as variances from paired group by 1, 2""",
     "merged_connections": f"""{with_('n', 'occ', 'reads', 'lib', 'usable', 'direct', 'paired', 'merged')}
-        select src, dst, round(distance, 4) as distance, round(variance, 4) as variance, direct_count, paired_count from merged""",
+        select src, dst, round(distance, 6) as distance, round(variance, 6) as variance, direct_count, paired_count from merged""",
     "connection_weights": f"""{with_('n', 'occ', 'reads', 'lib', 'usable', 'direct', 'paired', 'merged')},
         w as (select least(src, dst) as src, greatest(src, dst) as dst, count(*)::double as w from direct group by 1, 2
-          union all select m.src, m.dst, sum(0.39894 * exp(-(insert_length - (floor(m.distance) - places)) * (insert_length - (floor(m.distance) - places)) / (2 * exact)))
+          union all select m.src, m.dst, sum(0.39894 * exp(-(insert_length - (floor(round(m.distance, 6)) - places)) * (insert_length - (floor(round(m.distance, 6)) - places)) / (2 * exact)))
           from paired p join merged m on m.src = least(p.src, p.dst) and m.dst = greatest(p.src, p.dst) where counts group by 1, 2),
         s as (select src, dst, least(1000.0, sum(w)) as weight from w group by 1, 2)
-        select m.src, m.dst, round(coalesce(weight, 0), 4) as weight from merged m left join s using (src, dst)""",
+        select m.src, m.dst, round(coalesce(weight, 0), 6) as weight from merged m left join s using (src, dst)""",
     "local_connections": f"""{with_('n', 'occ', 'arcs', 'pairs', 'both')}, near as (select src as hub, -dst as near from both_ways join n on n.node_id = abs(src) and is_unique)
-        select distinct a.src, -a.dst as dst, multiplicity, x.len // 2 + y.len // 2 as distance, round(1 / multiplicity, 4) as variance
+        select distinct a.src, -a.dst as dst, multiplicity, x.len // 2 + y.len // 2 as distance, round(1 / multiplicity, 6) as variance
         from arcs a join n x on x.node_id = abs(a.src) and not x.is_unique join n y on y.node_id = abs(a.dst) and not y.is_unique
         join near s on s.near = a.src join near t on t.near = a.dst and t.hub = s.hub
         where abs(a.src) <> abs(a.dst) and not exists (select 1 from both_ways b where b.src = a.src and b.dst = -a.dst)""",
@@ -287,7 +287,7 @@ SQL = {
     "expected_connections": f"{with_('n', 'occ', 'reads', 'lib', 'pairs')}, {_EXPECTED_CTE} select src, dst, expected from expect",
     "reliable_connections": f"""{with_('n', 'occ', 'reads', 'lib', 'pairs')}, {_EXPECTED_CTE} select src, dst, direct_count, paired_count, expected from expect
         where weight >= 0.1 and paired_count + direct_count >= 4 and case when len_dst <= 50 or expected = 0 then direct_count > 0 else paired_count >= expected * 0.1 end""",
-    "gapped_connections": f"""{with_('n', 'pairs')} select src, dst, round(gap, 4) as gap from (
+    "gapped_connections": f"""{with_('n', 'pairs')} select src, dst, round(gap, 6) as gap from (
         select c.src, c.dst, distance - a.len // 2 - b.len // 2 as gap, direct_count, b.is_unique as u from pairs c join n a on a.node_id = abs(c.src) join n b on b.node_id = abs(c.dst))
         where gap > case when u then {K - 1} else 0 end and direct_count = 0""",
     "direct_only_connections": f"{with_('pairs')} select src, dst, direct_count from pairs where direct_count > 0",
