@@ -68,10 +68,11 @@ def _forest(turn: int, chunk: int):
     return run
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, chunk: int = 1 << 18) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node_id", one: str = "a", two: str = "b", chunk: int = 1 << 18) -> DataFrame:
     """(node, group): each different id of `nodes` and the smallest id of `nodes` linked to it over `edges`.
 
-    `nodes` has one LONG column; `edges` has two, and its ends need not be in `nodes` (they link all the same).
+    `nodes` has the LONG column `node`, `edges` the columns `one` and `two`, whose values need not be in `nodes`
+    (they link all the same); other columns are not read.
     Every edge partition is reduced by union-find to its spanning forest, edge chunk by edge chunk. Where trees of
     different partitions share a node, they are linked by an edge between their roots; those edges, far fewer,
     are the input of the next round, in as many partitions as hold at most `chunk` edges each, until none is
@@ -82,8 +83,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, chunk: int = 1 << 1
     every node is its own group; an empty `nodes` gives an empty result.
     """
     scratch = Scratch(nodes.sparkSession)
-    first, second = edges.columns
-    links = edges.select(F.col(first).cast("long").alias("a"), F.col(second).cast("long").alias("b")).where("a <> b")
+    links = edges.select(F.col(one).cast("long").alias("a"), F.col(two).cast("long").alias("b")).where("a <> b")
     parents: list[DataFrame] = []
     while True:
         turn = len(parents)
@@ -102,8 +102,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, chunk: int = 1 << 1
             break
         links = left.repartitionByRange(math.ceil(count / chunk), "a", "b")
 
-    first = nodes.columns[0]
-    labels = nodes.select(F.col(first).cast("long").alias("node")).where("node is not null").distinct().withColumn("label", F.col("node"))
+    labels = nodes.select(F.col(node).cast("long").alias("node")).where("node is not null").distinct().withColumn("label", F.col("node"))
     labels = scratch.keep(labels)
     for above in parents:
         moved = lookup(labels, above.select(F.col("node").alias("label"), "parent"), "label")

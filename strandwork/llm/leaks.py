@@ -97,7 +97,8 @@ def find_leaks(
     """(doc_id, item_id, words, start, end): each document and item that share a run of `min_words` words of the item.
 
     Words are compared without case, punctuation, markup, invisible characters and variant forms; single words
-    that were changed, added or left out do not end a run. Documents are scanned once, whole, by one automaton
+    that were changed, added or left out do not end a run. If both ids have the same name, that of the item gets
+    the prefix item_. Documents are scanned once, whole, by one automaton
     of all items; items beyond `block_bytes` of text are taken in blocks of about that size, a scan each, so no
     task holds more than one block. Of several runs of an item in a document the longest counts, the first of
     equals. `start` and `end` are places in the document's own text.
@@ -105,16 +106,17 @@ def find_leaks(
     A null id or text matches nothing, nor does an item of fewer than `min_words` words; items that are
     delivered again count once; ids need not be numbers. Other columns of both tables are not read.
     """
+    item_name = item_id if item_id != doc_id else f"item_{item_id}"
     asked = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("words")).dropna().dropDuplicates()
     blocks = max(1, math.ceil((asked.agg(F.sum(F.octet_length("words"))).first()[0] or 0) / block_bytes))
     posts = spread(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body")).dropna(), "doc")
     kinds = {"doc": posts.schema["doc"].dataType.simpleString(), "item": asked.schema["item"].dataType.simpleString()}
-    schema = f"`{doc_id}` {kinds['doc']}, `{item_id}` {kinds['item']}, words int, start int, end int"
+    schema = f"`{doc_id}` {kinds['doc']}, `{item_name}` {kinds['item']}, words int, start int, end int"
     out = None
     for block in range(blocks):
         # at most about block_bytes of text: the items of one block
         rows = asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
-        part = posts.mapInPandas(scanner([tuple(r) for r in rows], doc_id, item_id, min_words, seed_words), schema)
+        part = posts.mapInPandas(scanner([tuple(r) for r in rows], doc_id, item_name, min_words, seed_words), schema)
         out = part if out is None else out.unionByName(part)
     return out
 

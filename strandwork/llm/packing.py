@@ -112,7 +112,7 @@ def fill_containers(pieces: DataFrame, doc_id: str, capacity: int = 2048, per_ta
 
     def packed(rows: DataFrame, offset: int) -> tuple[DataFrame, int]:
         tasks = max(1, math.ceil((rows.agg(F.sum("tokens")).first()[0] or 0) / (capacity * per_task)))
-        task = F.pmod(F.xxhash64(doc_id, "piece"), F.lit(tasks))
+        task = F.pmod(F.xxhash64(F.lit(offset), doc_id, "piece"), F.lit(tasks))  # the second time, in other company
 
         def one(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values([doc_id, "piece"], ignore_index=True)

@@ -68,7 +68,7 @@ def node_links(spark: SparkSession, folder: str, scratch: Scratch) -> tuple[Data
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     nodes, edges = node_links(spark, folder, Scratch(spark))
-    groups = connected_components(nodes.select(F.col("node_id") * 2), edges)
+    groups = connected_components(nodes.select((F.col("node_id") * 2).alias("node_id")), edges)
     return groups.select((F.col("node") / 2).cast("long").alias("node_id"), (F.col("group") / 2).cast("long").alias("group_id"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwork.shared import Scratch
@@ -11,15 +11,19 @@ from strandwork.shared import Scratch
 MARKS = 64
 
 
+def bin_of(score: str, low: float, high: float, bins: int) -> Column:
+    at = F.floor((F.col(score) - F.lit(low)) / F.lit((high - low) / bins))
+    return F.greatest(F.lit(0), F.least(F.lit(bins - 1), at)).cast("int")
+
+
 def score_histogram(df: DataFrame, group: str, item: str, score: str, low: float, high: float, bins: int) -> DataFrame:
     """(group, bin, marks, rows): per score bin the number of rows, and which of 64 hash marks its items set.
 
     Items delivered again set the same mark, so the number of marks set never exceeds the number of
     different items. Scores outside [low, high] fall into the outer bins, which keeps the order of bins.
     """
-    at = F.floor((F.col(score) - F.lit(low)) / F.lit((high - low) / bins))
     mark = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(item), F.lit(MARKS)).cast("int"))
-    binned = df.select(group, F.greatest(F.lit(0), F.least(F.lit(bins - 1), at)).cast("int").alias("bin"), mark.alias("mark"))
+    binned = df.select(group, bin_of(score, low, high, bins).alias("bin"), mark.alias("mark"))
     return binned.groupBy(group, "bin").agg(F.bit_or("mark").alias("marks"), F.count("*").alias("rows"))
 
 
@@ -50,20 +54,22 @@ def top_n_per_group(
     Left out: rows whose group, item or score is null, or whose score is NaN. A group with fewer than `n` rows
     is kept whole; an empty table gives an empty result. Other columns of `df` are not carried.
     """
-    rows = df.select(group, item, score).where(F.col(group).isNotNull() & F.col(item).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score))
+    names = {"__group": group, "__item": item, "__score": score}
+    rows = df.select(*(F.col(name).alias(own) for own, name in names.items())).dropna().where(~F.isnan("__score"))
     scratch = Scratch(df.sparkSession)
-    floors = safe_thresholds(score_histogram(rows, group, item, score, low, high, bins), group, n)
+    floors = safe_thresholds(score_histogram(rows, "__group", "__item", "__score", low, high, bins), "__group", n)
     floors = scratch.keep(floors.withColumn("salt", F.lit(0)))  # as a stored column, it stays a key of the join below
     total = floors.agg(F.sum("rows")).first()[0] or 0
     is_heavy = F.col("rows") > max(total / heavy_groups, n)
-    heavy = floors.where(is_heavy).select(group, F.col("floor_bin").alias("heavy_floor"))
-    light = floors.where(~is_heavy).select(group, "salt", F.col("floor_bin").alias("light_floor"))
+    heavy = floors.where(is_heavy).select("__group", F.col("floor_bin").alias("heavy_floor"))
+    light = floors.where(~is_heavy).select("__group", "salt", F.col("floor_bin").alias("light_floor"))
 
-    at = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col(score) - F.lit(low)) / F.lit((high - low) / bins))))
-    kept = rows.join(F.broadcast(heavy), group, "left").where(F.col("heavy_floor").isNull() | (at >= F.col("heavy_floor")))
-    salt = F.when(F.col("heavy_floor").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(item), F.lit(salts)))
+    at = bin_of("__score", low, high, bins)
+    kept = rows.join(F.broadcast(heavy), "__group", "left").where(F.col("heavy_floor").isNull() | (at >= F.col("heavy_floor")))
+    salt = F.when(F.col("heavy_floor").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("__item"), F.lit(salts)))
     kept = kept.withColumn("salt", salt.cast("int")).drop("heavy_floor")
-    kept = kept.join(light.hint("shuffle_hash"), [group, "salt"], "left").where(F.col("light_floor").isNull() | (at >= F.col("light_floor")))
-    once = kept.groupBy(group, "salt", item).agg(F.max(score).alias(score)).drop("salt")
-    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), F.asc(item)))
-    return once.withColumn("place", place).where(F.col("place") <= n)
+    kept = kept.join(light.hint("shuffle_hash"), ["__group", "salt"], "left").where(F.col("light_floor").isNull() | (at >= F.col("light_floor")))
+    once = kept.groupBy("__group", "salt", "__item").agg(F.max("__score").alias("__score")).drop("salt")
+    place = F.row_number().over(Window.partitionBy("__group").orderBy(F.desc("__score"), F.asc("__item")))
+    best = once.withColumn("place", place).where(F.col("place") <= n)
+    return best.select(*(F.col(own).alias(name) for own, name in names.items()), "place")
