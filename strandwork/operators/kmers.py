@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.functions.dna import canonical, kmers
 from strandwork.shared import Scratch
 
 
-def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
-    """(kmer, n): how often each canonical k-mer occurs in `reads.seq`; k-mers with other letters than ACGT don't count.
+def strand_counts(reads: DataFrame, k: int) -> DataFrame:
+    """(kmer, twin, n): how often each k-mer occurs on either strand, with its reverse complement, the smaller first.
 
-    Counts are combined in every task before the shuffle, so a k-mer of very many reads is no burden; the two
-    strands of a k-mer meet in a second, smaller count.
+    A read is turned round once; its k-mers' reverse complements are cut from that. Counts are combined in every task
+    before the shuffle, so a k-mer of very many reads is no burden. K-mers with other letters than ACGT don't count.
     """
-    all_ = reads.where(F.length("seq") >= k).select(F.explode(kmers(F.col("seq"), k)).alias("run"))
-    counts = all_.groupBy("run").agg(F.count("*").alias("n")).where(~F.col("run").rlike("[^ACGT]"))
-    return counts.groupBy(canonical(F.col("run")).alias("kmer")).agg(F.sum("n").alias("n"))
+    both = reads.where(F.length("seq") >= k).select("seq", F.reverse(F.translate("seq", "ACGT", "TGCA")).alias("back"), F.length("seq").alias("size"))
+    places = both.select("seq", "back", "size", F.explode(F.sequence(F.lit(1), F.col("size") - (k - 1))).alias("at"))
+    one, two = F.substr("seq", F.col("at"), F.lit(k)), F.substr("back", F.col("size") - F.col("at") - (k - 2), F.lit(k))
+    cut = places.select(one.alias("one"), two.alias("two")).select(F.least("one", "two").alias("kmer"), F.greatest("one", "two").alias("twin"))
+    return cut.groupBy("kmer", "twin").agg(F.count("*").alias("n")).where(~F.col("kmer").rlike("[^ACGT]"))
+
+
+def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
+    """(kmer, n): `strand_counts` without the twins."""
+    return strand_counts(reads, k).select("kmer", "n")
 
 
 def kmer_spectrum(counts: DataFrame) -> DataFrame:
@@ -35,12 +41,15 @@ def kmer_arcs(reads: DataFrame, k: int, cutoff: float) -> DataFrame:
     An arc is a run of k+1 bases; its two k-mers are checked against the solid ones by joins on the k-mer.
     """
     solid = Scratch(reads.sparkSession).keep(solid_kmers(kmer_counts(reads, k), cutoff).select("kmer"))
-    runs = kmer_counts(reads, k + 1).withColumnRenamed("kmer", "run")
-    other = F.reverse(F.translate("run", "ACGT", "TGCA"))
-    oriented = runs.select("run", "n").unionByName(runs.where(F.col("run") != other).select(other.alias("run"), "n"))
-    ends = oriented.select(F.substring("run", 1, k).alias("src"), F.substring("run", 2, k).alias("dst"), F.col("n").alias("multiplicity"))
+    pairs = F.array(F.struct("kmer", "twin"), F.struct(F.col("twin").alias("kmer"), F.col("kmer").alias("twin")))
+    one = F.when(F.col("kmer") == F.col("twin"), F.slice(pairs, 1, 1)).otherwise(pairs)
+    ends = strand_counts(reads, k + 1).select(F.inline(one), F.col("n").alias("multiplicity"))
+    # the reverse complements of both k-mers are the two ends of the twin
+    ends = ends.select(
+        F.substring("kmer", 1, k).alias("src"), F.substring("kmer", 2, k).alias("dst"), F.substring("twin", 2, k).alias("src_twin"), F.substring("twin", 1, k).alias("dst_twin"), "multiplicity"
+    )
     for end in ("src", "dst"):
-        ends = ends.withColumn("kmer", canonical(F.col(end))).join(solid, "kmer", "left_semi").drop("kmer")
+        ends = ends.withColumn("kmer", F.least(end, f"{end}_twin")).join(solid, "kmer", "left_semi").drop("kmer", f"{end}_twin")
     return ends
 
 
