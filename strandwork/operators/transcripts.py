@@ -35,20 +35,16 @@ def walk_back(starts: DataFrame, back: DataFrame, longest: int) -> DataFrame:
     while far < longest:
         keys = ["locus_id", "walk", "node_id"]
         ahead = found.join(jump, keys).select("locus_id", "walk", F.col("to").alias("node_id"), (F.col("step") + far).alias("step"))
-        fresh = ahead.join(found.select(*keys), keys, "left_anti")
-        more = scratch.keep(found.unionByName(fresh).groupBy(*keys).agg(F.min("step").alias("step")))
-        if fresh_count(more, found) == 0:
+        fresh = ahead.join(found.select(*keys), keys, "left_anti").groupBy(*keys).agg(F.min("step").alias("step"))
+        fresh = scratch.keep(fresh)
+        if fresh.isEmpty():
             break
         hop = jump.select("locus_id", "walk", F.col("node_id").alias("to"), F.col("to").alias("to2"))
         jump = scratch.keep(jump.join(hop, ["locus_id", "walk", "to"]).select("locus_id", "walk", "node_id", F.col("to2").alias("to")))
-        found, far = more, far * 2
+        found, far = found.unionByName(fresh), far * 2
     return found
 
 
-def fresh_count(after: DataFrame, before: DataFrame) -> int:
-    return after.count() - before.count()
-
-
 def simple_transcripts(members: DataFrame, edges: DataFrame, shaped: DataFrame) -> DataFrame:
     """(locus_id, walk, node_path) of loci of the shapes LINEAR, FORK and BUBBLE; walk is 1 or 2.
 

@@ -136,8 +136,9 @@ def members_of(spark, locus):
 
 def paths_through(spark, edges, contigs):
     members = members_of(spark, {1: contigs})
-    e = loci.locus_edges(members, pairs_of(spark, edges))
-    shaped = loci.shapes(loci.degree_histogram(members, e))
+    scratch = Scratch(spark)
+    e = scratch.keep(loci.locus_edges(members, pairs_of(spark, edges)))
+    shaped = scratch.keep(loci.shapes(loci.degree_histogram(members, e)))
     found = transcripts.simple_transcripts(members, e, shaped)
     return shaped.first().shape, {tuple(r.node_path) for r in found.collect()}
 
