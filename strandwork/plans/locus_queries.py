@@ -150,9 +150,13 @@ def used_reads(spark, folder):
     """(used, all_reads, loci): reads on a transcript of 100 bases or more, all reads with a sequence, and loci with such a transcript."""
     i = Inputs(spark, folder)
     used = transcripts.used_reads(i.occ, _laid(i), 100)
-    counts = used.agg(F.count("*").alias("used")).crossJoin(i.reads.agg(F.count("seq").alias("all_reads")))
-    long_ = transcripts.lengths(_laid(i)).where("length >= 100").agg(F.count_distinct("locus_id").alias("loci"))
-    return counts.crossJoin(long_)
+    long_ = transcripts.lengths(_laid(i)).where("length >= 100")
+    parts = (
+        used.agg(F.lit("used").alias("what"), F.count("*").alias("n")),
+        i.reads.agg(F.lit("all_reads").alias("what"), F.count("seq").alias("n")),
+        long_.agg(F.lit("loci").alias("what"), F.count_distinct("locus_id").alias("n")),
+    )
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(*(F.max(F.when(F.col("what") == w, F.col("n"))).alias(w) for w in ("used", "all_reads", "loci")))
 
 
 def unused_reads(spark, folder):
