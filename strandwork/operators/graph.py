@@ -53,7 +53,7 @@ def low_fraction_arcs(arcs: DataFrame, fraction: float) -> DataFrame:
 
 
 def tips(nodes: DataFrame, arcs: DataFrame, k: int) -> DataFrame:
-    """Nodes shorter than 2k without an arc on one side, whose neighbour (if any) has other arcs on that side or is missing."""
+    """Nodes shorter than 2k, by their own length, without an arc on one side."""
     signed = nodes.select("node_id", "len").unionByName(nodes.select((-F.col("node_id")).alias("node_id"), "len"))
     out = arcs.groupBy("src").agg(F.count("*").alias("out"))
     dead = signed.join(out, signed.node_id == out.src, "left").where("out is null and len < 2 * %d" % k)
