@@ -60,6 +60,22 @@ def tips(nodes: DataFrame, arcs: DataFrame, k: int) -> DataFrame:
     return dead.select(F.abs("node_id").alias("node_id")).distinct()
 
 
+def minority_tips(nodes: DataFrame, arcs: DataFrame, k: int) -> DataFrame:
+    """(node_id): tips that a stronger branch goes past, and those that stand alone.
+
+    The tip's only arc comes from a contig with two arcs or more in that direction, and is not the one of largest
+    multiplicity, of equals that to the smaller signed contig. A tip that joins two contigs is none.
+    """
+    signed = nodes.select("node_id", "len").unionByName(nodes.select((-F.col("node_id")).alias("node_id"), "len"))
+    out = arcs.groupBy("src").agg(F.count("*").alias("out"))
+    dead = signed.join(out, signed.node_id == out.src, "left_anti").where("len < 2 * %d" % k)
+    into = arcs.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("n"), F.min("src").alias("src"))
+    best = arcs.groupBy("src").agg(F.count("*").alias("branches"), F.max_by("dst", F.struct("multiplicity", (-F.col("dst")).alias("o"))).alias("best"))
+    rows = dead.join(into, "node_id", "left").join(best, "src", "left")
+    minor = F.col("n").isNull() | ((F.col("n") == 1) & (F.col("branches") > 1) & (F.col("best") != F.col("node_id")))
+    return rows.where(minor).select(F.abs("node_id").alias("node_id")).distinct()
+
+
 def clip_tips(nodes: DataFrame, arcs: DataFrame, k: int, rounds: int = 1000) -> DataFrame:
     """The nodes that stay when tips are clipped again and again until none is left."""
     scratch = Scratch(nodes.sparkSession)

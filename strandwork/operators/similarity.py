@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.operators.clean import both_ways
+from strandwork.operators.graph import steps_back
+from strandwork.shared import Scratch, lookup
 
 
 def common_length(a: Column, b: Column) -> Column:
@@ -50,14 +52,70 @@ def simple_bubbles(pairs: DataFrame, nodes: DataFrame, k: int, max_branch: int =
     inner = into.join(out, "via").where("source <> sink and abs(source) <> abs(via) and abs(sink) <> abs(via) and source <= -sink")
     inner = inner.distinct().withColumn("contig", F.abs("via")).join(known, "contig")
     read = F.when(F.col("via") > 0, F.col("seq")).otherwise(F.reverse(F.translate("seq", "ACGT", "TGCA")))
-    branch = F.struct("cov", (-F.col("via")).alias("other"), F.substr(read, F.lit(k)).alias("body"))
+    branch = F.struct("cov", (-F.abs("via")).alias("other"), "via", F.substr(read, F.lit(k)).alias("body"))
     rows = inner.select("source", "sink", branch.alias("branch"))
     best = rows.groupBy("source", "sink").agg(F.max("branch").alias("best"), F.count("*").alias("n")).where("n > 1")
-    both = rows.join(best, ["source", "sink"]).where("branch.other <> best.other")
+    both = rows.join(best, ["source", "sink"]).where("branch.via <> best.via")
     return both.select(
         "source",
         "sink",
-        (-F.col("best.other")).alias("kept"),
-        (-F.col("branch.other")).alias("dropped"),
+        F.col("best.via").alias("kept"),
+        F.col("branch.via").alias("dropped"),
         similar(F.col("best.body"), F.col("branch.body"), k).alias("same"),
     )
+
+
+def merge_map(bubbles: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(dropped, kept): every contig that gives way to a similar one, by positive id, and the signed contig that stays for it.
+
+    A contig that is dropped from several bubbles goes to the kept one of largest coverage, of equals the smaller
+    id. What it goes to may be dropped elsewhere; then it follows. Kept contigs always rank above dropped ones, so
+    there is no circle. A contig that is similar to its own reverse stays. No bubbles give an empty result.
+    """
+    scratch = Scratch(bubbles.sparkSession)
+    alike = bubbles.where("same and abs(kept) <> abs(dropped)")
+    moves = alike.select(F.abs("dropped").alias("contig"), (F.col("kept") * F.signum("dropped").cast("long")).alias("to"))
+    ranked = moves.join(nodes.select("node_id", "cov"), F.abs("to") == F.col("node_id"))
+    one = ranked.groupBy("contig").agg(F.max_by("to", F.struct("cov", (-F.col("node_id")).alias("other"), "to")).alias("to"))
+    back = one.select(F.col("contig").alias("node"), "to").unionByName(one.select((-F.col("contig")).alias("node"), (-F.col("to")).alias("to")))
+    ends = steps_back(scratch, scratch.keep(back))
+    return scratch.keep(ends.where("far > 0 and node > 0").select(F.col("node").alias("dropped"), F.col("to").alias("kept")))
+
+
+def merged_nodes(nodes: DataFrame, moved: DataFrame) -> DataFrame:
+    """`nodes` without the dropped contigs of `moved` (see `merge_map`); their coverage is added to those that stay."""
+    stay = nodes.join(moved.select(F.col("dropped").alias("node_id")), "node_id", "left_anti")
+    came = moved.join(nodes.select(F.col("node_id").alias("dropped"), F.col("cov").alias("more")), "dropped")
+    more = came.groupBy(F.abs("kept").alias("node_id")).agg(F.sum("more").alias("more"))
+    return stay.join(more, "node_id", "left").withColumn("cov", F.col("cov") + F.coalesce("more", F.lit(0))).select(nodes.columns)
+
+
+def moved_ends(rows: DataFrame, moved: DataFrame, end: str) -> DataFrame:
+    """`rows` with the signed contig in `end` replaced by the one that stays for it."""
+    known = Scratch(rows.sparkSession).keep(rows.withColumn("__contig", F.abs(end)))
+    both = lookup(known, moved.select(F.col("dropped").alias("__contig"), F.col("kept").alias("__kept")), "__contig")
+    return both.withColumn(end, F.coalesce(F.col("__kept") * F.signum(end).cast("long"), F.col(end))).select(rows.columns)
+
+
+def merged_arcs(arcs: DataFrame, moved: DataFrame) -> DataFrame:
+    """(src, dst, multiplicity) between the contigs that stay."""
+    ends = moved_ends(moved_ends(arcs, moved, "src"), moved, "dst")
+    return ends.groupBy("src", "dst").agg(F.sum("multiplicity").alias("multiplicity"))
+
+
+def merged_occurrences(occ: DataFrame, nodes: DataFrame, moved: DataFrame) -> DataFrame:
+    """(read_id, node_id, pos, off): places of reads on dropped contigs become places on those that stay.
+
+    A place keeps its part of the length, rounded down and within the contig. `nodes` are those before the merge.
+    """
+    size = nodes.select("node_id", "len")
+    scale = moved.join(size.select(F.col("node_id").alias("dropped"), F.col("len").alias("old")), "dropped")
+    scale = scale.join(size.select(F.col("node_id").alias("stays"), F.col("len").alias("new")), F.abs("kept") == F.col("stays"))
+    scale = scale.select(F.col("dropped").alias("contig"), "kept", "old", "new")
+    known = Scratch(occ.sparkSession).keep(occ.select("read_id", "node_id", "pos", "off", F.abs("node_id").alias("contig")))
+    rows = lookup(known, scale, "contig")
+    at = F.floor(F.col("pos") * F.col("new") / F.greatest("old", F.lit(1)))
+    within = F.greatest(F.least(at, F.col("new") - 1), F.lit(0)).cast("long")
+    moved_to = F.col("kept") * F.signum("node_id").cast("long")
+    place = F.when(F.col("kept").isNull(), F.col("pos")).otherwise(within)
+    return rows.select("read_id", F.coalesce(moved_to, "node_id").alias("node_id"), place.alias("pos"), "off").distinct()

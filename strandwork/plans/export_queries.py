@@ -36,6 +36,13 @@ def unused_reads_fasta(spark, folder):
     return sinks.reads_fasta(i.reads.join(used, "read_id", "left_anti").join(names, "read_id"))
 
 
+def removed_contigs_fasta(spark, folder):
+    """Contigs that the coverage cutoff takes away."""
+    i = Inputs(spark, folder)
+    nodes = i.nodes.where((F.col("len") > 0) & (F.col("cov") / F.col("len") < 3.0))
+    return sinks.contigs_fasta(nodes)
+
+
 def locus_graphs(spark, folder):
     i = Inputs(spark, folder)
     return sinks.locus_graphs(i.members, i.pairs)
@@ -85,7 +92,7 @@ def assembly_stats(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (transcript_fasta, contig_order_lines, unused_reads_fasta, locus_graphs, connection_report, splice_events, splice_event_lines, mapping_lines, assembly_messages, assembly_stats)
+    for f in (transcript_fasta, contig_order_lines, unused_reads_fasta, removed_contigs_fasta, locus_graphs, connection_report, splice_events, splice_event_lines, mapping_lines, assembly_messages, assembly_stats)
 }
 
 _WRAP = "rtrim(regexp_replace({}, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10))"
@@ -113,6 +120,8 @@ SQL = {
         names as (select read_id, min(name) as name from test_reads where read_id is not null group by 1)
         select read_id, printf('>%s' || chr(9) || '%d' || chr(9) || '%d', name, read_id, coalesce(category, 0)) || chr(10) || {_WRAP.format('seq')} as value
         from reads join names using (read_id) where seq is not null and read_id not in (select read_id from used)""",
+    "removed_contigs_fasta": f"""{with_('n')} select node_id, printf('>NODE_%d_Length_%d_Coverage_%d', node_id, len, cov) || chr(10) || {_WRAP.format('seq')} as value
+        from n where len > 0 and cov / len < 3.0 and seq is not null""",
     "locus_graphs": f"""{with_('m', 'pairs', 'both')}, s as (select a.locus_id, c.src, -c.dst as to_, c.* exclude (src) from m a join both_ways c on c.src = a.node_id join m b on b.locus_id = a.locus_id and b.node_id = -c.dst)
         select locus_id, 1 as part, cast(node_id as varchar) as value from m
         union all select locus_id, 2, case when active then printf('%d -> %d [label="%d_%d_%d"]', src, to_, cast(floor(distance) as bigint), paired_count, direct_count) else printf('%d -> %d [label="XXX"]', src, to_) end from s

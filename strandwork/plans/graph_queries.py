@@ -111,6 +111,11 @@ def tips_fixpoint(spark, folder):
     return graph.clip_tips(i.nodes, i.arcs, K)
 
 
+def minority_tips(spark, folder):
+    i = Inputs(spark, folder)
+    return graph.minority_tips(i.nodes, i.arcs, K)
+
+
 def unipaths(spark, folder):
     return graph.chains(Inputs(spark, folder).arcs)
 
@@ -204,13 +209,33 @@ def simple_bubbles(spark, folder):
     return similarity.simple_bubbles(i.scratch.keep(i.pairs), i.nodes, K)
 
 
+def _merged(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    nodes = i.scratch.keep(i.nodes)
+    return nodes, similarity.merge_map(similarity.simple_bubbles(i.scratch.keep(i.pairs), nodes, K), nodes)
+
+
+def merged_bubbles(spark, folder):
+    return _merged(Inputs(spark, folder))[1]
+
+
+def merged_bubble_nodes(spark, folder):
+    """Contigs and their coverage once similar branches are one."""
+    return similarity.merged_nodes(*_merged(Inputs(spark, folder))).select("node_id", "len", "cov")
+
+
+def merged_bubble_occurrences(spark, folder):
+    i = Inputs(spark, folder)
+    return similarity.merged_occurrences(i.occ, *_merged(i))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         node_arcs, node_degrees, unique_nodes, coverage_cutoff, dubious_reads, trusted_occurrences, low_fraction_arcs, tips_round1, tips_fixpoint,
         unipaths, shared_reads_between_nodes, read_occurrences, ambiguous_occurrences, occurrences_per_read, direct_connections, paired_connections,
         merged_connections, connection_weights, local_connections, paired_read_density, expected_connections, reliable_connections,
-        gapped_connections, direct_only_connections, connections_by_distance, transitive_edges, simple_bubbles,
+        gapped_connections, direct_only_connections, connections_by_distance, transitive_edges, simple_bubbles, minority_tips,
+        merged_bubbles, merged_bubble_nodes, merged_bubble_occurrences,
     )
 }
 
@@ -260,6 +285,11 @@ SQL = {
         where multiplicity < total * 0.1""",
     "tips_round1": f"""{with_('n', 'occ', 'arcs')} select distinct abs(node_id) as node_id from (select node_id, len from n union all select -node_id, len from n)
         where len < {2 * K} and node_id not in (select src from arcs)""",
+    "minority_tips": f"""{with_('n', 'occ', 'arcs')}, dead as (select node_id from (select node_id, len from n union all select -node_id, len from n)
+          where len < {2 * K} and node_id not in (select src from arcs)),
+        ranked as (select src, dst, count(*) over (partition by src) as branches, count(*) over (partition by dst) as n,
+          row_number() over (partition by src order by multiplicity desc, dst) as place from arcs)
+        select distinct abs(node_id) as node_id from dead left join ranked on dst = node_id where dst is null or (n = 1 and branches > 1 and place > 1)""",
     "shared_reads_between_nodes": f"""{with_('occ', 'pairs')}, on_ as (select distinct read_id, abs(node_id) as c from occ),
         common as (select a.c as src, b.c as dst, count(*) as reads from on_ a join on_ b on a.read_id = b.read_id and a.c < b.c group by 1, 2),
         asked as (select distinct least(abs(src), abs(dst)) as src, greatest(abs(src), abs(dst)) as dst from pairs)

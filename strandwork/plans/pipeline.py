@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandwork.config import AssemblyOptions
 from strandwork.functions.dna import canonical, kmers
-from strandwork.operators import graph, kmers as km, loci, scaffold, transcripts
+from strandwork.operators import graph, kmers as km, loci, scaffold, similarity, transcripts
 from strandwork.shared import Scratch
 
 
@@ -92,7 +92,7 @@ def place_reads(reads: DataFrame, nodes: DataFrame, places: DataFrame, k: int) -
 def assemble(reads: DataFrame, libraries: DataFrame, options: AssemblyOptions = AssemblyOptions()) -> Assembly:
     """Contigs, connections, loci and transcripts of `reads` (read_id, mate_id, category, seq).
 
-    Tips are clipped and weak arcs dropped before reads are connected. Loci of a simple shape give their one or two
+    Weak arcs are dropped, similar branches merged and tips clipped before reads are connected. Loci of a simple shape give their one or two
     transcripts; from all others the heaviest path is taken, and contigs that no path explains stand alone.
     """
     scratch = Scratch(reads.sparkSession)
@@ -103,6 +103,12 @@ def assemble(reads: DataFrame, libraries: DataFrame, options: AssemblyOptions =
     weak = scratch.keep(graph.low_fraction_arcs(raw_arcs, options.edge_fraction_cutoff).select("src", "dst"))
     twins = weak.unionByName(weak.select((-F.col("dst")).alias("src"), (-F.col("src")).alias("dst"))).distinct()
     strong = scratch.keep(raw_arcs.join(twins, ["src", "dst"], "left_anti"))
+    steps = strong.select("src", (-F.col("dst")).alias("dst"), F.lit(True).alias("active")).where("src < dst")
+    moved = similarity.merge_map(similarity.simple_bubbles(steps, raw, k, options.max_branch), raw)
+    if not moved.isEmpty():
+        raw_occ = scratch.keep(similarity.merged_occurrences(raw_occ, raw, moved))
+        raw = scratch.keep(similarity.merged_nodes(raw, moved))
+        strong = scratch.keep(similarity.merged_arcs(strong, moved))
     stay = graph.clip_tips(raw, strong, k)
     nodes = raw.join(stay.select("node_id"), "node_id", "left_semi")
     arcs = strong.join(stay.select(F.col("node_id").alias("a")), F.abs("src") == F.col("a"), "left_semi")

@@ -67,6 +67,12 @@ def reads_fasta(reads: DataFrame) -> DataFrame:
     return rows.select("read_id", F.concat_ws("\n", _line(">%s\t%d\t%d", "name", "read_id", F.coalesce("category", F.lit(0))), wrap(F.col("seq"))).alias("value"))
 
 
+def contigs_fasta(nodes: DataFrame) -> DataFrame:
+    """(node_id, value): FASTA records of contigs with their length in k-mers and their coverage; those without bases are left out."""
+    rows = nodes.where("seq is not null")
+    return rows.select("node_id", F.concat_ws("\n", _line(">NODE_%d_Length_%d_Coverage_%d", "node_id", "len", "cov"), wrap(F.col("seq"))).alias("value"))
+
+
 def locus_graphs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(locus_id, part, value): lines of a GraphViz graph per locus: contigs, then connections with distance and counts.
 

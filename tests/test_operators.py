@@ -225,6 +225,43 @@ def test_bubbles_of_similar_and_unlike_branches(spark):
     assert [(abs(a), abs(b), s) for a, b, s in got] == [(2, 3, True), (2, 5, False)] or sorted((abs(a), abs(b), s) for a, b, s in got) == [(2, 3, True), (2, 5, False)]
 
 
+def test_similar_branches_become_one(spark):
+    like = "ACGTTGCAAGCTTAGCCATGCATCGGATTACAGGCATTGCC"
+    seqs = {n: like for n in (1, 2, 4, 6)} | {3: like[:30] + "C" + like[31:], 5: like[:35] + "G" + like[36:]}
+    nodes = spark.createDataFrame(
+        [(n, seqs[n], 100 if n in (1, 4, 6) else 21, c, False) for n, c in ((1, 100), (2, 50), (3, 5), (4, 90), (5, 7), (6, 80))],
+        "node_id long, seq string, len int, cov long, is_unique boolean",
+    )
+    # 2, 3 and 5 lie between 1 and 4; 3 and 5 also between 6 and 4: 3 goes to 2 at once, 5 too
+    edges = [(1, n, 10, 1) for n in (2, 3, 5)] + [(n, 4, 10, 1) for n in (2, 3, 5)] + [(6, n, 10, 1) for n in (3, 5)]
+    found = similarity.simple_bubbles(pairs_of(spark, edges), nodes, 21)
+    moved = similarity.merge_map(found, nodes)
+    assert rows(moved) == [(3, 2), (5, 2)]
+    assert rows(similarity.merged_nodes(nodes, moved).select("node_id", "cov")) == [(1, 100), (2, 62), (4, 90), (6, 80)]
+    occ = spark.createDataFrame([(7, 1, 0, 0), (7, -3, 20, 9), (8, 5, 40, 1), (9, 2, 5, 0)], "read_id long, node_id long, pos long, off long")
+    assert rows(similarity.merged_occurrences(occ, nodes, moved)) == [(7, -2, 20, 9), (7, 1, 0, 0), (8, 2, 20, 1), (9, 2, 5, 0)]
+    arcs = arcs_of(spark, [(1, 2), (1, 3), (5, 4)])
+    assert rows(similarity.merged_arcs(arcs, moved)) == [(-4, -2, 3), (-2, -1, 6), (1, 2, 6), (2, 4, 3)]
+    none = similarity.merge_map(found.where("false"), nodes)
+    assert none.count() == 0 and similarity.merged_nodes(nodes, none).count() == 6
+    assert rows(similarity.merged_occurrences(occ, nodes, none)) == rows(occ)
+
+
+def test_merges_follow_what_was_merged_and_ties_go_to_the_smaller_id(spark):
+    nodes = nodes_of(spark, {n: 21 for n in range(1, 6)}, cov={1: 5, 2: 9, 3: 9, 4: 20, 5: 1})
+    data = [(8, 9, 2, 1, True), (8, 9, -4, 2, True), (7, 9, 2, 3, True), (7, 9, 4, 5, False), (7, 9, 1, -1, True)]
+    found = spark.createDataFrame(data, "source long, sink long, kept long, dropped long, same boolean")
+    assert rows(similarity.merge_map(found, nodes)) == [(1, -4), (2, -4), (3, -4)]
+
+
+def test_tips_that_a_stronger_branch_goes_past(spark):
+    nodes = nodes_of(spark, {1: 100, 2: 100, 3: 20, 4: 20, 5: 20, 6: 20, 7: 41, 8: 100, 9: 41})
+    edges = [(1, 2, 9), (1, 3, 2), (4, 5, 2), (8, 7, 4), (8, 9, 4)]
+    arcs = spark.createDataFrame(edges + [(-b, -a, n) for a, b, n in edges], "src long, dst long, multiplicity long")
+    # 3 is weaker than 2, 6 stands alone, 9 ties with 7; 4 and 5 are joined tips
+    assert rows(graph.minority_tips(nodes, arcs, 21)) == [(3,), (6,), (9,)]
+
+
 def test_splice_events(spark):
     k = 5
     pad = "A" * 30
