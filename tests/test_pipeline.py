@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from strandwork.__main__ import arguments, libraries_of, main, options_of
 from strandwork.config import AssemblyOptions
 from strandwork.plans.pipeline import assemble, contigs, merge, place_reads
 from strandwork.sources.fasta import pair_up, read_fasta
@@ -81,3 +82,22 @@ def test_fasta_round_trip(spark, tmp_path, reads):
 def test_fasta_dirt(spark, tmp_path):
     (tmp_path / "a.fa").write_bytes(b">one\t7\t1\r\nacg\r\nt\r\n>two\nAC GT\n\n>\nAAAA\n>three\n")
     assert sorted(map(tuple, read_fasta(spark, str(tmp_path / "a.fa")).collect())) == [("one", 7, 1, "ACGT"), ("three", None, None, ""), ("two", None, None, "ACGT")]
+
+
+def test_command_line(spark, tmp_path, reads):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_text(reads_fasta(reads), source, "read_id")
+    main([source, out, "--coverage-cutoff", "2", "--insert", "1:200:10", "--scaffolding", "--unused-reads"])
+    found = read_fasta(spark, f"{out}/transcripts.fa").collect()
+    assert found and all(any(r.seq in w or turned(r.seq) in w for w in isoforms()) for r in found)
+    assert all(r.name.endswith(f"_Length_{len(r.seq)}") for r in found)
+    assert spark.read.text(f"{out}/contig-ordering.txt").where("value like '>%'").count() == len(found)
+    assert read_fasta(spark, f"{out}/unused-reads.fa").count() < reads.count()
+
+
+def test_arguments(spark):
+    args = arguments(["in", "out", "--k", "19", "21", "--insert", "1:200", "3:500:40", "--min-pair-count", "2"])
+    options = options_of(args)
+    assert (options.k, options.min_pair_count, options.coverage_cutoff, args.merge_k) == (19, 2, 3.0, 27)
+    assert sorted(map(tuple, libraries_of(spark, args.insert).collect())) == [(1, 200.0, 20.0), (3, 500.0, 40.0)]
+    assert libraries_of(spark, []).count() == 0
