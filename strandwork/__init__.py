@@ -1 +1,8 @@
 """Transcript-graph analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
+# Functions travel to the executors with their code, so the package need not be installed there.
+register_pickle_by_value(sys.modules[__name__])
