@@ -131,8 +131,13 @@ def chains(arcs: DataFrame) -> DataFrame:
     `chain` is the contig at its beginning, `step` the place from there, 0 first. A ring begins at its least
     contig. Contigs without a chain link are left out. The reverse of each chain is there too.
     """
-    scratch = Scratch(arcs.sparkSession)
-    back = scratch.keep(chain_links(arcs).select(F.col("dst").alias("node"), F.col("src").alias("to")))
+    return chains_of(chain_links(arcs))
+
+
+def chains_of(links: DataFrame) -> DataFrame:
+    """`chains` of given links (src, dst), of which no contig has two on one side."""
+    scratch = Scratch(links.sparkSession)
+    back = scratch.keep(links.select(F.col("dst").alias("node"), F.col("src").alias("to")))
     state = steps_back(scratch, back)
     rings = state.where("not done").select("node", "least")
     cut = scratch.keep(back.join(rings, "node").where("node <> least").select("node", "to"))

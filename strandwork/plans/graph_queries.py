@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.operators import clean, graph, scaffold, similarity
+from strandwork.operators import clean, compact, graph, scaffold, similarity
 from strandwork.plans.prelude import K, with_
 from strandwork.shared import Scratch
 from strandwork.sources.tables import table
@@ -120,6 +120,12 @@ def unipaths(spark, folder):
     return graph.chains(Inputs(spark, folder).arcs)
 
 
+def joined_contigs(spark, folder):
+    """Contigs once unbranched chains of them, where they overlap, are one."""
+    i = Inputs(spark, folder)
+    return compact.join_chains(i.scratch.keep(i.nodes.drop("is_unique")), i.scratch.keep(i.arcs), i.scratch.keep(i.occ), K)[0]
+
+
 def shared_reads_between_nodes(spark, folder):
     i = Inputs(spark, folder)
     return graph.shared_reads(i.occ, i.pairs)
@@ -232,7 +238,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         node_arcs, node_degrees, unique_nodes, coverage_cutoff, dubious_reads, trusted_occurrences, low_fraction_arcs, tips_round1, tips_fixpoint,
-        unipaths, shared_reads_between_nodes, read_occurrences, ambiguous_occurrences, occurrences_per_read, direct_connections, paired_connections,
+        unipaths, joined_contigs, shared_reads_between_nodes, read_occurrences, ambiguous_occurrences, occurrences_per_read, direct_connections, paired_connections,
         merged_connections, connection_weights, local_connections, paired_read_density, expected_connections, reliable_connections,
         gapped_connections, direct_only_connections, connections_by_distance, transitive_edges, simple_bubbles, minority_tips,
         merged_bubbles, merged_bubble_nodes, merged_bubble_occurrences,
@@ -290,6 +296,17 @@ SQL = {
         ranked as (select src, dst, count(*) over (partition by src) as branches, count(*) over (partition by dst) as n,
           row_number() over (partition by src order by multiplicity desc, dst) as place from arcs)
         select distinct abs(node_id) as node_id from dead left join ranked on dst = node_id where dst is null or (n = 1 and branches > 1 and place > 1)""",
+    "joined_contigs": f"""{with_('n', 'occ', 'arcs', recursive=True)}, s as (select node_id, seq, len, cov from n
+          union all select -node_id, reverse(translate(seq, 'ACGT', 'TGCA')), len, cov from n),
+        solo as (select src, dst from arcs where src in (select src from arcs group by 1 having count(*) = 1) and dst in (select dst from arcs group by 1 having count(*) = 1)),
+        links as (select src, dst from solo join s a on a.node_id = src join s b on b.node_id = dst
+          where abs(src) <> abs(dst) and right(a.seq, {K - 1}) = left(b.seq, {K - 1})),
+        walk as (select src as chain, src as node_id, 0 as step from links where src not in (select dst from links)
+          union all select chain, dst, step + 1 from walk join links on src = node_id),
+        best as (select chain, arg_min(node_id, abs(node_id)) as stays from walk group by 1)
+        select stays as node_id, string_agg(case when step = 0 then seq else substr(seq, {K}) end, '' order by step) as seq,
+          cast(sum(len) as int) as len, cast(sum(cov) as bigint) as cov from walk join best using (chain) join s using (node_id) where stays > 0 group by 1
+        union all select node_id, seq, len, cov from n where node_id not in (select abs(node_id) from walk)""",
     "shared_reads_between_nodes": f"""{with_('occ', 'pairs')}, on_ as (select distinct read_id, abs(node_id) as c from occ),
         common as (select a.c as src, b.c as dst, count(*) as reads from on_ a join on_ b on a.read_id = b.read_id and a.c < b.c group by 1, 2),
         asked as (select distinct least(abs(src), abs(dst)) as src, greatest(abs(src), abs(dst)) as dst from pairs)

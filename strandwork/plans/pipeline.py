@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandwork.config import AssemblyOptions
 from strandwork.functions.dna import canonical, kmers
-from strandwork.operators import graph, kmers as km, loci, scaffold, similarity, transcripts
+from strandwork.operators import compact, graph, kmers as km, loci, scaffold, similarity, transcripts
 from strandwork.shared import Scratch
 
 
@@ -89,11 +89,38 @@ def place_reads(reads: DataFrame, nodes: DataFrame, places: DataFrame, k: int) -
     return rows.groupBy("read_id", "node_id").agg(first).select("read_id", "node_id", "first.pos", "first.off")
 
 
+def corrected(nodes: DataFrame, arcs: DataFrame, occ: DataFrame, options: AssemblyOptions) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, arcs, occ) once similar branches are merged and tips are clipped.
+
+    After every change unbranched contigs are joined, so branches and tips of several contigs are seen whole: a round
+    joins, merges what is similar and, where nothing is, takes away the tips. Each round but the last has fewer contigs
+    than the one before.
+    """
+    scratch = Scratch(nodes.sparkSession)
+    while True:
+        nodes, arcs, occ, _ = compact.join_chains(nodes, arcs, occ, options.k)
+        steps = arcs.select("src", (-F.col("dst")).alias("dst"), F.lit(True).alias("active")).where("src < dst")
+        moved = similarity.merge_map(similarity.simple_bubbles(steps, nodes, options.k, options.max_branch), nodes)
+        if not moved.isEmpty():
+            occ = scratch.keep(similarity.merged_occurrences(occ, nodes, moved))
+            nodes = scratch.keep(similarity.merged_nodes(nodes, moved))
+            arcs = scratch.keep(similarity.merged_arcs(arcs, moved))
+            continue
+        short = scratch.keep(graph.tips(nodes, arcs, options.k))
+        if short.isEmpty():
+            return nodes, arcs, occ
+        gone = short.select(F.col("node_id").alias("gone"))
+        nodes = scratch.keep(nodes.join(short, "node_id", "left_anti"))
+        arcs = arcs.join(gone, F.abs("src") == F.col("gone"), "left_anti")
+        arcs = scratch.keep(arcs.join(gone, F.abs("dst") == F.col("gone"), "left_anti"))
+        occ = scratch.keep(occ.join(gone, F.abs("node_id") == F.col("gone"), "left_anti"))
+
+
 def assemble(reads: DataFrame, libraries: DataFrame, options: AssemblyOptions = AssemblyOptions()) -> Assembly:
     """Contigs, connections, loci and transcripts of `reads` (read_id, mate_id, category, seq).
 
-    Weak arcs are dropped, similar branches merged and tips clipped before reads are connected. Loci of a simple shape give their one or two
-    transcripts; from all others the heaviest path is taken, and contigs that no path explains stand alone.
+    Weak arcs are dropped, similar branches merged, tips clipped and unbranched contigs joined before reads are
+    connected. Loci of a simple shape give their one or two transcripts; from all others the heaviest path is taken, and contigs that no path explains stand alone.
     """
     scratch = Scratch(reads.sparkSession)
     k = options.k
@@ -103,19 +130,9 @@ def assemble(reads: DataFrame, libraries: DataFrame, options: AssemblyOptions =
     weak = scratch.keep(graph.low_fraction_arcs(raw_arcs, options.edge_fraction_cutoff).select("src", "dst"))
     twins = weak.unionByName(weak.select((-F.col("dst")).alias("src"), (-F.col("src")).alias("dst"))).distinct()
     strong = scratch.keep(raw_arcs.join(twins, ["src", "dst"], "left_anti"))
-    steps = strong.select("src", (-F.col("dst")).alias("dst"), F.lit(True).alias("active")).where("src < dst")
-    moved = similarity.merge_map(similarity.simple_bubbles(steps, raw, k, options.max_branch), raw)
-    if not moved.isEmpty():
-        raw_occ = scratch.keep(similarity.merged_occurrences(raw_occ, raw, moved))
-        raw = scratch.keep(similarity.merged_nodes(raw, moved))
-        strong = scratch.keep(similarity.merged_arcs(strong, moved))
-    stay = graph.clip_tips(raw, strong, k)
-    nodes = raw.join(stay.select("node_id"), "node_id", "left_semi")
-    arcs = strong.join(stay.select(F.col("node_id").alias("a")), F.abs("src") == F.col("a"), "left_semi")
-    arcs = scratch.keep(arcs.join(stay.select(F.col("node_id").alias("a")), F.abs("dst") == F.col("a"), "left_semi"))
+    nodes, arcs, occ = corrected(raw, strong, raw_occ, options)
     unique = graph.unique_nodes(nodes, arcs, options.unique_length, options.degree_cutoff).select("node_id", F.lit(True).alias("u"))
     nodes = scratch.keep(nodes.join(unique, "node_id", "left").withColumn("is_unique", F.coalesce("u", F.lit(False))).drop("u"))
-    occ = scratch.keep(raw_occ.join(nodes.select(F.col("node_id").alias("a")), F.abs("node_id") == F.col("a"), "left_semi"))
 
     placed = scratch.keep(scaffold.usable(occ, nodes))
     direct, paired = scaffold.direct_connections(placed), scaffold.paired_connections(placed, reads, libraries)
