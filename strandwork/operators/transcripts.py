@@ -73,10 +73,80 @@ def to_paths(steps: DataFrame) -> DataFrame:
     return steps.groupBy("locus_id", "walk").agg(path.alias("node_path"))
 
 
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """The rows of `edges` (locus_id, src, dst) that lie on a cycle.
+
+    What has nothing before or nothing behind it is trimmed. Then marks spread, forwards and backwards in turn, and an
+    edge between two marks goes, until none does: by then all that hangs together is one cycle or several in one another.
+    """
+    scratch = Scratch(edges.sparkSession)
+
+    def trimmed(left: DataFrame) -> tuple[DataFrame, int]:
+        n = left.count()
+        while n:
+            inner = left.join(left.select("locus_id", F.col("dst").alias("src")).distinct(), ["locus_id", "src"], "left_semi")
+            left = scratch.keep(inner.join(left.select("locus_id", F.col("src").alias("dst")).distinct(), ["locus_id", "dst"], "left_semi"))
+            before, n = n, left.count()
+            if n == before:
+                break
+        return left, n
+
+    def same_mark(left: DataFrame, start: str, end: str) -> DataFrame:
+        ends = left.select("locus_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+        marks = scratch.keep(ends.select("locus_id", "node_id", F.col("node_id").alias("mark"), F.lit(True).alias("grew")))
+        while not marks.where("grew").isEmpty():
+            sent = marks.where("grew").select("locus_id", F.col("node_id").alias(start), "mark").join(left, ["locus_id", start])
+            best = sent.groupBy("locus_id", F.col(end).alias("node_id")).agg(F.max("mark").alias("offer"))
+            grew = F.coalesce(F.col("offer") > F.col("mark"), F.lit(False))
+            marks = scratch.keep(marks.join(best, ["locus_id", "node_id"], "left").select("locus_id", "node_id", F.greatest("mark", "offer").alias("mark"), grew.alias("grew")))
+        a, b = (marks.select("locus_id", F.col("node_id").alias(e), F.col("mark").alias(f"mark_{e}")) for e in ("src", "dst"))
+        both = left.join(a, ["locus_id", "src"]).join(b, ["locus_id", "dst"]).where("mark_src = mark_dst")
+        return scratch.keep(both.select("locus_id", "src", "dst"))
+
+    left, n = trimmed(scratch.keep(edges.select("locus_id", "src", "dst").distinct()))
+    while n:
+        before = n
+        left, n = trimmed(same_mark(same_mark(left, "src", "dst"), "dst", "src"))
+        if n == before:
+            break
+    return left
+
+
+def in_path_order(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """`members` with an `ord` that every edge follows, but for some that lie on a cycle.
+
+    In each round the contigs that no open edge leads to are next in their locus, all loci at once, so rounds are as
+    many as edges on the longest path. Where only cycles and what follows them are left, edges on a cycle that run
+    against the given order are taken as not there.
+    """
+    scratch = Scratch(members.sparkSession)
+    left = scratch.keep(edges.where("src <> dst").select("locus_id", "src", "dst").distinct())
+    placed, turn = None, 0
+    while not left.isEmpty():
+        heads = scratch.keep(left.select("locus_id", "src").distinct().join(left.select("locus_id", F.col("dst").alias("src")), ["locus_id", "src"], "left_anti"))
+        if heads.isEmpty():
+            place = members.select("locus_id", "node_id", F.coalesce("ord", F.lit(2147483647)).alias("ord"))
+            a, b = (place.select("locus_id", F.col("node_id").alias(end), F.col("ord").alias(f"at_{end}")) for end in ("src", "dst"))
+            round_ = on_cycles(left).join(a, ["locus_id", "src"]).join(b, ["locus_id", "dst"])
+            back = round_.where("at_src > at_dst or (at_src = at_dst and src > dst)").select("locus_id", "src", "dst")
+            left = scratch.keep(left.join(back, ["locus_id", "src", "dst"], "left_anti"))
+            continue
+        level = heads.select("locus_id", F.col("src").alias("node_id"), F.lit(turn).alias("level"))
+        placed = level if placed is None else placed.unionByName(level)
+        after = scratch.keep(left.join(heads, ["locus_id", "src"], "left_anti"))
+        scratch.drop(left)
+        left, turn = after, turn + 1
+    if placed is None:
+        return members
+    # contigs that lead nowhere come last
+    ranked = members.join(placed, ["locus_id", "node_id"], "left").withColumn("ord", F.coalesce("level", F.lit(turn)))
+    return scratch.keep(ranked.select(members.columns))
+
+
 def heaviest_paths(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(locus_id, score, node_path): the path of largest summed weight through each locus with an edge.
 
-    Edges against the order of the locus are cut, which breaks its cycles. Scores run forwards: in each round only
+    Edges against the order of the locus are left out, so it has to be that of `in_path_order`. Scores run forwards: in each round only
     contigs whose score grew pass it on, all loci at once, so rounds are as many as edges on the longest path
     and a large locus is spread like any other. Ties go to the smaller contig.
     """

@@ -86,7 +86,8 @@ def simple_transcripts(spark, folder):
 
 
 def dp_heaviest_path(spark, folder):
-    found = transcripts.heaviest_paths(*_edges(Inputs(spark, folder)))
+    members, edges = _edges(Inputs(spark, folder))
+    found = transcripts.heaviest_paths(transcripts.in_path_order(members, edges), edges)
     return found.select("locus_id", F.round("score", 4).alias("score"), "node_path")
 
 

@@ -154,7 +154,8 @@ def assemble(reads: DataFrame, libraries: DataFrame, options: AssemblyOptions =
     shaped = scratch.keep(loci.shapes(loci.degree_histogram(members, edges)))
     simple = transcripts.simple_transcripts(members, edges, shaped)
     hard = shaped.where("shape = 'UNKNOWN'").select("locus_id")
-    heavy = transcripts.heaviest_paths(members.join(hard, "locus_id", "left_semi"), edges.join(hard, "locus_id", "left_semi"))
+    hard_members, hard_edges = (scratch.keep(df.join(hard, "locus_id", "left_semi")) for df in (members, edges))
+    heavy = transcripts.heaviest_paths(transcripts.in_path_order(hard_members, hard_edges), hard_edges)
     found = scratch.keep(simple.select("locus_id", "node_path").unionByName(heavy.select("locus_id", "node_path")).distinct())
     alone = transcripts.unexplained_contigs(members, found).select("locus_id", F.array("node_id").alias("node_path"))
     rows = number(scratch.keep(found.unionByName(alone).withColumn("at", F.concat_ws(",", F.lpad(F.col("locus_id").cast("string"), 20, "0"), F.col("node_path").cast("array<string>")))), "at")
