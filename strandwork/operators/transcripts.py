@@ -200,6 +200,34 @@ def heaviest_unused(members: DataFrame, paths: DataFrame, nodes: DataFrame) -> D
     return best.select("locus_id", (-F.col("best.other")).alias("node_id"), F.col("best.cov").alias("cov"))
 
 
+def path_cover(members: DataFrame, edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """(locus_id, node_path): the heaviest path of each locus, then heaviest paths through what is on none yet.
+
+    Each round takes the contig of largest coverage on no path (`heaviest_unused`) and makes its edges weigh more than
+    all others of the locus together, for all loci at once that have one, up to `most` paths in each. A contig that has
+    no edge stands alone.
+    """
+    scratch = Scratch(members.sparkSession)
+    order = in_path_order(members, edges)
+    total = scratch.keep(edges.groupBy("locus_id").agg((F.sum(F.coalesce("weight", F.lit(0.0))) + 1).alias("total")))
+    found = members.select("locus_id", F.array("node_id").alias("node_path")).where("false")
+    for turn in range(most):
+        forced = heaviest_unused(members, found, nodes).select("locus_id", F.col("node_id").alias("forced"))
+        if turn == 0:
+            forced = forced.join(total, "locus_id", "left_anti")
+        forced = scratch.keep(forced)
+        if turn and forced.isEmpty():
+            break
+        around = edges.join(total, "locus_id").join(forced, "locus_id", "left" if turn == 0 else "inner")
+        extra = F.when((F.col("src") == F.col("forced")) | (F.col("dst") == F.col("forced")), F.col("total")).otherwise(0.0)
+        around = scratch.keep(around.select("locus_id", "src", "dst", (F.coalesce("weight", F.lit(0.0)) + extra).alias("weight")))
+        paths = heaviest_paths(order, around).join(forced, "locus_id", "full")
+        through = F.col("forced").isNull() | F.array_contains("node_path", F.col("forced"))
+        fresh = paths.select("locus_id", F.when(through, F.col("node_path")).otherwise(F.array("forced")).alias("node_path"))
+        found = scratch.keep(found.unionByName(fresh))
+    return found
+
+
 def layout(paths: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(locus_id, transcript_id, ord, node_id, len, gap, finish, run): each contig of a transcript in order.
 

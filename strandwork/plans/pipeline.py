@@ -120,7 +120,8 @@ def assemble(reads: DataFrame, libraries: DataFrame, options: AssemblyOptions =
     """Contigs, connections, loci and transcripts of `reads` (read_id, mate_id, category, seq).
 
     Weak arcs are dropped, similar branches merged, tips clipped and unbranched contigs joined before reads are
-    connected. Loci of a simple shape give their one or two transcripts; from all others the heaviest path is taken, and contigs that no path explains stand alone.
+    connected. Loci of a simple shape give their one or two transcripts; all others give
+    heaviest paths until every contig is on one, up to `max_transcripts`, and long contigs that no path explains stand alone.
     """
     scratch = Scratch(reads.sparkSession)
     k = options.k
@@ -155,7 +156,7 @@ def assemble(reads: DataFrame, libraries: DataFrame, options: AssemblyOptions =
     simple = transcripts.simple_transcripts(members, edges, shaped)
     hard = shaped.where("shape = 'UNKNOWN'").select("locus_id")
     hard_members, hard_edges = (scratch.keep(df.join(hard, "locus_id", "left_semi")) for df in (members, edges))
-    heavy = transcripts.heaviest_paths(transcripts.in_path_order(hard_members, hard_edges), hard_edges)
+    heavy = transcripts.path_cover(hard_members, hard_edges, nodes, options.max_transcripts)
     found = scratch.keep(simple.select("locus_id", "node_path").unionByName(heavy.select("locus_id", "node_path")).distinct())
     alone = transcripts.unexplained_contigs(members, found).select("locus_id", F.array("node_id").alias("node_path"))
     rows = number(scratch.keep(found.unionByName(alone).withColumn("at", F.concat_ws(",", F.lpad(F.col("locus_id").cast("string"), 20, "0"), F.col("node_path").cast("array<string>")))), "at")

@@ -37,3 +37,13 @@ def test_only_edges_on_cycles_are_cut(spark):
     assert {(r.src, r.dst) for r in transcripts.on_cycles(edges).collect()} == set(cycle)
     found = transcripts.heaviest_paths(transcripts.in_path_order(members, edges), edges).first()
     assert found.node_path == [9, 8, 5, 6, 7, 4, 2, 3, 1]
+
+
+def test_paths_until_every_contig_is_on_one(spark):
+    # three ways from 1 to 9, one contig (7) without an edge, and a locus of such contigs only
+    ways = {(1, 2): 9, (2, 9): 9, (1, 3): 5, (3, 9): 5, (1, 4): 2, (4, 5): 2, (5, 9): 2}
+    members, edges = tables(spark, {1: ways, 2: {}}, {1: [9, 3, 1, 2, 4, 5, 7], 2: [11, 12]})
+    nodes = spark.createDataFrame([(n, c) for n, c in zip((1, 2, 3, 4, 5, 7, 9, 11, 12), (90, 50, 30, 10, 20, 5, 90, 2, 1))], "node_id long, cov long")
+    cover = lambda most: {tuple(r.node_path) for r in transcripts.path_cover(members, edges, nodes, most).collect()}
+    assert cover(10) == {(1, 2, 9), (1, 3, 9), (1, 4, 5, 9), (7,), (11,), (12,)}
+    assert cover(2) == {(1, 2, 9), (1, 3, 9), (11,), (12,)}
