@@ -228,6 +228,25 @@ def path_cover(members: DataFrame, edges: DataFrame, nodes: DataFrame, most: int
     return found
 
 
+def with_gaps(paths: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`paths` (locus_id, transcript_id, node_path, ...) with `gaps`: the k-mers between each contig and the next, 0 after the last.
+
+    A gap is what is left of the edge's distance, which is from centre to centre, without the halves of both contigs.
+    """
+    steps = paths.where("size(node_path) > 1").select("locus_id", "transcript_id", "node_path", F.explode(F.sequence(F.lit(1), F.size("node_path") - 1)).alias("at"))
+    steps = steps.select("locus_id", "transcript_id", "at", F.expr("element_at(node_path, at)").alias("src"), F.expr("element_at(node_path, at + 1)").alias("dst"))
+    far = edges.groupBy("locus_id", "src", "dst").agg(F.min("distance").alias("distance"))
+    rows = steps.join(far, ["locus_id", "src", "dst"], "left")
+    for end in ("src", "dst"):
+        rows = rows.join(nodes.select(F.col("node_id").alias("contig"), F.col("len").alias(f"len_{end}")), F.abs(end) == F.col("contig"), "left").drop("contig")
+    odd = F.when((F.col("len_src") % 2 > 0) | (F.col("len_dst") % 2 > 0), 1).otherwise(0)
+    gap = F.floor(F.round("distance", 6)) - F.expr("len_src div 2") - F.expr("len_dst div 2") - odd
+    rows = rows.withColumn("gap", F.greatest(F.lit(0), F.coalesce(gap, F.lit(0))).cast("long"))
+    gaps = rows.groupBy("transcript_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "gap"))), lambda s: s["gap"]).alias("gaps"))
+    end = F.array(F.lit(0).cast("long"))
+    return paths.join(gaps, "transcript_id", "left").withColumn("gaps", F.coalesce(F.concat("gaps", end), end)).select(*paths.columns, "gaps")
+
+
 def layout(paths: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(locus_id, transcript_id, ord, node_id, len, gap, finish, run): each contig of a transcript in order.
 
@@ -316,11 +335,13 @@ def merged_transcripts(paths: DataFrame, loci: DataFrame) -> DataFrame:
     return of_path.join(of_locus, "locus_id").select("locus_id", "transcript_id", "contigs", F.round(F.col("contigs") / F.col("all_contigs"), 6).alias("confidence"))
 
 
-def sequences(laid: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def sequences(laid: DataFrame, nodes: DataFrame, k: int, gaps_in_kmers: bool = False) -> DataFrame:
     """(locus_id, transcript_id, seq): transcripts spelled out, contig after contig, with N in the gaps.
 
-    A contig follows the one before with an overlap of k-1 bases, or after its gap's Ns; leading Ns are cut off. A
-    transcript is spelled from its own contigs only, which are as long together as the result.
+    A contig follows the one before with an overlap of k-1 bases, or after its gap's Ns; leading Ns are cut off. With
+    `gaps_in_kmers` (those of `with_gaps`) contigs overlap by what a gap lacks to k-1, and only what it has beyond that
+    is Ns, so a sequence is as long as its `finish`. A transcript is spelled from its own contigs only, which are as
+    long together as the result.
     """
     seqs = nodes.where("seq is not null").select(F.col("node_id").alias("contig"), "seq")
     rows = laid.withColumn("contig", F.abs("node_id")).join(seqs, "contig")
@@ -328,7 +349,9 @@ def sequences(laid: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     step = F.struct("ord", "gap", forward.alias("seq"))
     joined = rows.groupBy("locus_id", "transcript_id").agg(F.array_sort(F.collect_list(step)).alias("steps"), F.count("*").alias("n"), F.max("ord").alias("last"))
     start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("gap"))
-    piece = lambda at, s: F.when(at["text"] == "", s["seq"]).when(at["gap"] > 0, F.concat(F.repeat(F.lit("N"), at["gap"].cast("int")), s["seq"])).otherwise(F.substr(s["seq"], F.lit(k)))
+    apart = k - 1 if gaps_in_kmers else 0
+    spaced = lambda at, s: F.concat(F.repeat(F.lit("N"), (at["gap"] - apart).cast("int")), F.substr(s["seq"], F.greatest(F.lit(1), F.lit(apart + 1) - at["gap"]).cast("int")))
+    piece = lambda at, s: F.when(at["text"] == "", s["seq"]).when(at["gap"] > 0, spaced(at, s)).otherwise(F.substr(s["seq"], F.lit(k)))
     fold = F.aggregate("steps", start, lambda at, s: F.struct(F.concat(at["text"], piece(at, s)).alias("text"), s["gap"].alias("gap")), lambda at: F.ltrim(at["text"], F.lit("N")))
     return joined.where("n = last + 1").select("locus_id", "transcript_id", fold.alias("seq"))
 

@@ -162,8 +162,8 @@ def assemble(reads: DataFrame, libraries: DataFrame, options: AssemblyOptions =
     rows = number(scratch.keep(found.unionByName(alone).withColumn("at", F.concat_ws(",", F.lpad(F.col("locus_id").cast("string"), 20, "0"), F.col("node_path").cast("array<string>")))), "at")
     size = members.groupBy("locus_id").agg(F.count("*").alias("contigs"))
     rows = rows.join(size, "locus_id").select("locus_id", F.col("node_id").alias("transcript_id"), "node_path", (F.size("node_path") / F.col("contigs")).alias("confidence"))
-    rows = scratch.keep(rows.withColumn("gaps", F.transform("node_path", lambda _: F.lit(0).cast("long"))))
-    sequences = scratch.keep(transcripts.sequences(transcripts.layout(rows, nodes, k), nodes, k))
+    rows = scratch.keep(transcripts.with_gaps(scratch.keep(rows), edges, nodes))
+    sequences = scratch.keep(transcripts.sequences(transcripts.layout(rows, nodes, k), nodes, k, gaps_in_kmers=True))
     return Assembly(nodes, occ, arcs, pairs, members, rows, sequences)
 
 

@@ -47,3 +47,19 @@ def test_paths_until_every_contig_is_on_one(spark):
     cover = lambda most: {tuple(r.node_path) for r in transcripts.path_cover(members, edges, nodes, most).collect()}
     assert cover(10) == {(1, 2, 9), (1, 3, 9), (1, 4, 5, 9), (7,), (11,), (12,)}
     assert cover(2) == {(1, 2, 9), (1, 3, 9), (11,), (12,)}
+
+
+def test_gaps_of_a_path_and_what_they_spell(spark):
+    # k is 5; 3 begins two bases before 2 ends
+    text = "ACGTTGCAAC" + "GTCAGGTACCATTGACCTGA"
+    seqs = {1: "AACCGGTTAACC", 2: text[:10], 3: text[8:16], 4: "AAAAAAAA"}
+    lens = {n: len(s) - 4 for n, s in seqs.items()}  # 8, 6, 4, 4
+    nodes = spark.createDataFrame([(n, lens[n], s) for n, s in seqs.items()], "node_id long, len int, seq string")
+    edges = spark.createDataFrame([(1, 1, 2, 20.0), (1, 2, 3, 7.0), (1, 3, 4, 3.5)], "locus_id long, src long, dst long, distance double")
+    paths = spark.createDataFrame([(1, 1, [1, 2, 3, 4]), (1, 2, [4])], "locus_id long, transcript_id long, node_path array<long>")
+    found = transcripts.with_gaps(paths, edges, nodes)
+    assert {r.transcript_id: r.gaps for r in found.collect()} == {1: [13, 2, 0, 0], 2: [0]}
+    laid = transcripts.layout(found, nodes, 5)
+    seq = {r.transcript_id: r.seq for r in transcripts.sequences(laid, nodes, 5, gaps_in_kmers=True).collect()}
+    assert seq == {1: seqs[1] + "N" * 9 + text[:16] + "AAAA", 2: "AAAAAAAA"}
+    assert {r.transcript_id: r.length for r in transcripts.lengths(laid).collect()} == {t: len(s) for t, s in seq.items()}
