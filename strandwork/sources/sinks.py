@@ -116,7 +116,7 @@ def mapping_lines(mappings: DataFrame) -> DataFrame:
 def messages(libraries: DataFrame, reads: DataFrame, laid: DataFrame, occ: DataFrame, k: int) -> DataFrame:
     """(kind, id, value): an assembly as messages: LIB, FRG (pairs), RED (reads), CTG (gap-free runs), SCF (transcripts), TLE (read placements).
 
-    Reads are laid on runs by their contig's place; qualities are not known and given as one letter.
+    Reads are laid on runs by their contig's place, those on its other strand with a clear range from end to begin; qualities are not known and given as one letter.
     """
     lib = libraries.select(F.lit("1LIB").alias("kind"), F.col("category").cast("long").alias("id"), _line("{LIB\niid:%d\n{DST\nmea:%d\nstd:%d\n}\n}", "category", F.floor("mean"), F.floor("sd")).alias("value"))
     pairs = reads.where("mate_id > read_id")
@@ -127,9 +127,20 @@ def messages(libraries: DataFrame, reads: DataFrame, laid: DataFrame, occ: DataF
     ctg = runs.select(F.lit("4CTG").alias("kind"), F.col("transcript_id").alias("id"), _line("{CTG\neid:%d-%d\nlen:%d\n}", "transcript_id", "run", "length").alias("value"))
     scf = runs.groupBy("transcript_id").agg(F.count("*").alias("runs")).select(F.lit("5SCF").alias("kind"), F.col("transcript_id").alias("id"), _line("{SCF\neid:%d\nruns:%d\n}", "transcript_id", "runs").alias("value"))
     first = laid.groupBy("transcript_id", "run").agg(F.min(F.col("finish") - F.col("gap") - F.col("len")).alias("begin"))
-    on = laid.join(first, ["transcript_id", "run"]).select("transcript_id", "run", "node_id", (F.col("finish") - F.col("gap") - F.col("len") - F.col("begin")).alias("at"))
-    placed = on.join(occ.select("read_id", "node_id", "pos", "off"), "node_id")
-    tle = placed.select(F.lit("6TLE").alias("kind"), F.col("transcript_id").alias("id"), _line("{TLE\nsrc:%d\nctg:%d-%d\noff:%d\n}", "read_id", "transcript_id", "run", F.col("at") + F.col("pos") - F.col("off")).alias("value"))
+    on = laid.join(first, ["transcript_id", "run"]).select("transcript_id", "run", "node_id", "len", (F.col("finish") - F.col("gap") - F.col("len") - F.col("begin")).alias("at"), F.abs("node_id").alias("contig"))
+    spans = reads.select("read_id", F.coalesce(F.length("seq"), F.lit(0)).alias("span"))
+    hits = occ.select("read_id", F.col("node_id").alias("hit"), "pos", "off", F.abs("node_id").alias("contig")).join(spans, "read_id", "left")
+    span = F.coalesce("span", F.lit(0))
+    same = F.col("hit") == F.col("node_id")
+    placed = on.join(hits, "contig").select(
+        "transcript_id",
+        "run",
+        "read_id",
+        (F.col("at") + F.when(same, F.col("pos") - F.col("off")).otherwise(F.col("len") - F.col("pos") + F.col("off") - span + k - 1)).alias("off"),
+        F.when(same, 0).otherwise(span).alias("clear_from"),
+        F.when(same, span).otherwise(0).alias("clear_to"),
+    )
+    tle = placed.select(F.lit("6TLE").alias("kind"), F.col("transcript_id").alias("id"), _line("{TLE\nsrc:%d\nctg:%d-%d\noff:%d\nclr:%d,%d\n}", "read_id", "transcript_id", "run", "off", "clear_from", "clear_to").alias("value"))
     out = lib
     for part in (frg, red, ctg, scf, tle):
         out = out.unionByName(part)
