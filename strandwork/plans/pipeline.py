@@ -109,33 +109,52 @@ def corrected(nodes: DataFrame, arcs: DataFrame, occ: DataFrame, options: Assemb
         short = scratch.keep(graph.tips(nodes, arcs, options.k))
         if short.isEmpty():
             return nodes, arcs, occ
-        gone = short.select(F.col("node_id").alias("gone"))
-        nodes = scratch.keep(nodes.join(short, "node_id", "left_anti"))
-        arcs = arcs.join(gone, F.abs("src") == F.col("gone"), "left_anti")
-        arcs = scratch.keep(arcs.join(gone, F.abs("dst") == F.col("gone"), "left_anti"))
-        occ = scratch.keep(occ.join(gone, F.abs("node_id") == F.col("gone"), "left_anti"))
+        nodes, arcs, occ = without(short, nodes, arcs, occ)
+
+
+def without(dropped: DataFrame, nodes: DataFrame, arcs: DataFrame, occ: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, arcs, occ) without the contigs of `dropped`."""
+    scratch = Scratch(nodes.sparkSession)
+    gone = dropped.select(F.col("node_id").alias("gone"))
+    nodes = nodes.join(gone, F.col("node_id") == F.col("gone"), "left_anti")
+    for end in ("src", "dst"):
+        arcs = arcs.join(gone, F.abs(end) == F.col("gone"), "left_anti")
+    occ = occ.join(gone, F.abs("node_id") == F.col("gone"), "left_anti")
+    return scratch.keep(nodes), scratch.keep(arcs), scratch.keep(occ)
+
+
+def covered(reads: DataFrame, options: AssemblyOptions) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(nodes, arcs, occ, dubious): the corrected contigs of all k-mers whose mean coverage reaches the cutoff.
+
+    `dubious` are the reads that lie on a contig dropped for its coverage; their places on other contigs stay in `occ`.
+    """
+    scratch = Scratch(reads.sparkSession)
+    raw, places = contigs(reads, replace(options, coverage_cutoff=1))
+    raw_occ = scratch.keep(place_reads(reads, raw, places, options.k))
+    low = scratch.keep(graph.low_coverage_nodes(raw, options.coverage_cutoff))
+    dubious = scratch.keep(graph.dubious_reads(raw_occ, low))
+    nodes, arcs, occ = without(low, raw, graph.arcs_of_reads(raw_occ, raw), raw_occ)
+    weak = scratch.keep(graph.low_fraction_arcs(arcs, options.edge_fraction_cutoff).select("src", "dst"))
+    twins = weak.unionByName(weak.select((-F.col("dst")).alias("src"), (-F.col("src")).alias("dst"))).distinct()
+    strong = scratch.keep(arcs.join(twins, ["src", "dst"], "left_anti"))
+    nodes, arcs, occ = corrected(nodes, strong, occ, options)
+    return nodes, arcs, occ, dubious
 
 
 def assemble(reads: DataFrame, libraries: DataFrame, options: AssemblyOptions = AssemblyOptions()) -> Assembly:
     """Contigs, connections, loci and transcripts of `reads` (read_id, mate_id, category, seq).
 
-    Weak arcs are dropped, similar branches merged, tips clipped and unbranched contigs joined before reads are
-    connected. Loci of a simple shape give their one or two transcripts; all others give
+    Contigs of low mean coverage and weak arcs are dropped, similar branches merged, tips clipped and unbranched contigs
+    joined before reads are connected; reads on a contig of low coverage connect nothing. Loci of a simple shape give their one or two transcripts; all others give
     heaviest paths until every contig is on one, up to `max_transcripts`, and long contigs that no path explains stand alone.
     """
     scratch = Scratch(reads.sparkSession)
     k = options.k
-    raw, places = contigs(reads, options)
-    raw_occ = scratch.keep(place_reads(reads, raw, places, k))
-    raw_arcs = scratch.keep(graph.arcs_of_reads(raw_occ, raw))
-    weak = scratch.keep(graph.low_fraction_arcs(raw_arcs, options.edge_fraction_cutoff).select("src", "dst"))
-    twins = weak.unionByName(weak.select((-F.col("dst")).alias("src"), (-F.col("src")).alias("dst"))).distinct()
-    strong = scratch.keep(raw_arcs.join(twins, ["src", "dst"], "left_anti"))
-    nodes, arcs, occ = corrected(raw, strong, raw_occ, options)
+    nodes, arcs, occ, dubious = covered(reads, options)
     unique = graph.unique_nodes(nodes, arcs, options.unique_length, options.degree_cutoff).select("node_id", F.lit(True).alias("u"))
     nodes = scratch.keep(nodes.join(unique, "node_id", "left").withColumn("is_unique", F.coalesce("u", F.lit(False))).drop("u"))
 
-    placed = scratch.keep(scaffold.usable(occ, nodes))
+    placed = scratch.keep(scaffold.usable(occ.join(dubious, "read_id", "left_anti"), nodes))
     direct, paired = scaffold.direct_connections(placed), scaffold.paired_connections(placed, reads, libraries)
     merged = scratch.keep(scaffold.merge_connections(direct, paired))
     weighed = scratch.keep(scaffold.connection_weights(merged, direct, paired, options.weight_cap))
