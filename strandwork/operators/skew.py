@@ -2,51 +2,60 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandwork.shared import Scratch
+
 #: How the partial states of an aggregate are merged.
 MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max, "bit_or": F.bit_or}
 FIRST = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "bit_or": F.bit_or}
 
 
-def tree_aggregate(df: DataFrame, keys: Sequence[str], states: Mapping[str, tuple[str, Column]], fan_in: int = 32) -> DataFrame:
-    """Aggregate by `keys` in rounds, so that no reducer gets more than `fan_in` partial states of a key.
+def tree_aggregate(df: DataFrame, keys: Sequence[str], states: Mapping[str, tuple[str, Column]], fan_in: int = 32, chunk_rows: int = 4096) -> DataFrame:
+    """Aggregate by `keys` in rounds, so that no reducer gets more than `fan_in` partial states of a key at once.
 
-    `states` maps each result name to a kind (count, sum, min, max, bit_or) and its column. Every partition
-    of `df` is one chunk: its rows become one state per key where they lie. The states of `fan_in`
-    neighbouring chunks are then merged by (key, chunk div fan_in), again and again, until one chunk is left:
-    log(partitions) rounds, each of which moves far fewer rows than the one before.
+    `states` maps each result name to a kind (count, sum, min, max, bit_or) and its column. The rows of every partition,
+    sorted by key, are cut into chunks of `chunk_rows`; those of a chunk become one state per key where they lie. Then
+    `fan_in` neighbouring chunks are merged, and again, until each partition is one, and then `fan_in` neighbouring
+    partitions: rounds are logarithmic in the chunks that there are, and each moves far fewer states than the one before.
 
     A null key is a key of its own; null values are ignored as by the plain aggregate; an empty `df` gives no
     rows. Columns that are not named are not read.
     """
-    chunk = "__chunk"
-    rows = df.withColumn(chunk, F.spark_partition_id())
-    out = rows.groupBy(*keys, chunk).agg(*(FIRST[kind](value).alias(name) for name, (kind, value) in states.items()))
-    for _ in range(rounds(df, fan_in)):
-        out = out.withColumn(chunk, F.floor(F.col(chunk) / fan_in).cast("int"))
-        out = out.groupBy(*keys, chunk).agg(*(MERGE[kind](name).alias(name) for name, (kind, _) in states.items()))
-    return out.groupBy(*keys).agg(*(MERGE[kind](name).alias(name) for name, (kind, _) in states.items()))
-
-
-def rounds(df: DataFrame, fan_in: int) -> int:
-    """Merging rounds before the last one, for as many chunks as a shuffle of this session has."""
-    chunks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(0, math.ceil(math.log(max(chunks, 1), fan_in)) - 1)
-
-
-def count_distinct_by_tree(df: DataFrame, key: str, item: str, name: str, fan_in: int = 32) -> DataFrame:
+    *_, last = levels(df, keys, states, fan_in, chunk_rows)
+    return last.select(*keys, *states)
+
+
+def levels(df: DataFrame, keys: Sequence[str], states: Mapping[str, tuple[str, Column]], fan_in: int, chunk_rows: int) -> Iterator[DataFrame]:
+    """The states after each round of `tree_aggregate`, with __part and __chunk, where they lie; the last has one state a key."""
+    values = {f"__{name}": value for name, (_, value) in states.items()}
+    rows = df.select(*keys, *(value.alias(name) for name, value in values.items())).sortWithinPartitions(*keys, *values)
+    # rows are in a fixed order, so a task that runs again makes the same chunks
+    chunk = F.floor(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) / chunk_rows).alias("__chunk")
+    rows = rows.select("*", F.spark_partition_id().alias("__part"), chunk)
+    first = rows.groupBy(*keys, "__part", "__chunk").agg(*(FIRST[kind](f"__{name}").alias(name) for name, (kind, _) in states.items()))
+    out = Scratch(df.sparkSession).keep(first)
+    yield out
+    part, chunks = (n or 0 for n in out.agg(F.max("__part"), F.max("__chunk")).first())
+    while part or chunks:
+        # within partitions first, then across them
+        place = (F.col("__part"), F.floor(F.col("__chunk") / fan_in).alias("__chunk")) if chunks else (F.floor(F.col("__part") / fan_in).alias("__part"), F.lit(0).alias("__chunk"))
+        out = out.groupBy(*keys, *place).agg(*(MERGE[kind](name).alias(name) for name, (kind, _) in states.items()))
+        part, chunks = (part, chunks // fan_in) if chunks else (part // fan_in, 0)
+        yield out
+
+
+def count_distinct_by_tree(df: DataFrame, key: str, item: str, name: str, fan_in: int = 32, chunk_rows: int = 4096) -> DataFrame:
     """For each non-null `key`, how many different non-null values of `item` it has, as column `name`.
 
     Repeats are dropped first by (key, item), which spreads the items of a heavy key over all tasks; what is
     left is counted by `tree_aggregate`. Keys all of whose items are null have no row.
     """
     items = df.where(F.col(key).isNotNull() & F.col(item).isNotNull()).select(key, item).distinct()
-    return tree_aggregate(items, [key], {name: ("count", F.lit(1))}, fan_in)
+    return tree_aggregate(items, [key], {name: ("count", F.col(item))}, fan_in, chunk_rows)
 
 
 def stale_contig_counts(loci: DataFrame, locus_nodes: DataFrame, fan_in: int = 32) -> DataFrame:
