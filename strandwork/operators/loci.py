@@ -2,44 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.functions.dna import REVERSE_STOPS, STOPS, codon_count
 from strandwork.operators.clean import both_ways
-from strandwork.shared import Scratch, lookup
-
-
-def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+from strandwork.shared import Scratch, heavy_keys, lookup
+
+
+def least_linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(a, to): each contig on the few connections (a, b) of a task and the smallest one it is linked to, if not itself."""
+    few = pd.concat([*batches, pd.DataFrame({"a": [], "b": []}, dtype=np.int64)])
+    ids, ends = np.unique(few[["a", "b"]].to_numpy(np.int64), return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    least = np.arange(len(ids))
+    while (least[a] != least[b]).any():
+        lower = np.minimum(least[a], least[b])
+        for end in (a, b):
+            np.minimum.at(least, least[end], lower)
+        while (least != least[least]).any():
+            least = least[least]
+    moved = np.flatnonzero(least != np.arange(len(ids)))
+    yield pd.DataFrame({"a": ids[moved], "to": ids[least[moved]]})
+
+
+def components(nodes: DataFrame, pairs: DataFrame, few: int = 1 << 17) -> DataFrame:
     """(node_id, locus_id): each contig of `nodes` with the smallest contig it is connected to, signs ignored.
 
     In every round a contig joins that one of its neighbours and itself which comes first in an order drawn anew,
     and the connections are carried over to what is left; a fixed part of the contigs goes in each round, whatever
-    the shape, and a round moves only the connections that are left. Then each contig follows its joins.
+    the shape, and a round moves only the connections that are left. Once these are at most `few`, one task finds what
+    they link. Then each contig follows its joins.
     """
     scratch = Scratch(nodes.sparkSession)
     ids = scratch.keep(nodes.select("node_id").distinct())
     ends = pairs.select(F.abs("src").alias("a"), F.abs("dst").alias("b")).where("a <> b")
-    for end in ("a", "b"):
-        ends = ends.join(ids.withColumnRenamed("node_id", end), end, "left_semi")
     edges = scratch.keep(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    for end in ("a", "b"):
+        edges = lookup(edges, ids.withColumnRenamed("node_id", end), end, "left_semi")
+    edges = scratch.keep(edges)
     joins: list[DataFrame] = []
-    while not edges.isEmpty():
+    while edges.count() > few:
         rank = lambda c: F.struct(F.xxhash64(F.lit(len(joins)), c), F.col(c).alias("id"))  # noqa: B023, E731
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = near.groupBy("a").agg(F.least(F.min(rank("b")), F.first(rank("a")))["id"].alias("to")).where("a <> to")
         joined = scratch.keep(first)
-        moved = edges.join(joined.withColumnRenamed("to", "x"), "a", "left").join(joined.select(F.col("a").alias("b"), F.col("to").alias("y")), "b", "left")
+        moved = lookup(edges, joined.withColumnRenamed("to", "x"), "a")
+        moved = lookup(moved, joined.select(F.col("a").alias("b"), F.col("to").alias("y")), "b", heavy=heavy_keys(edges, "b"))
         moved = moved.select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).where("x <> y")
         after = scratch.keep(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         scratch.drop(edges)
         edges = after
         joins.append(joined)
-    labels = ids.withColumn("label", F.col("node_id"))
-    for joined in joins:
-        moved = labels.join(joined.withColumnRenamed("a", "label"), "label", "left")
-        labels = moved.select("node_id", F.coalesce("to", "label").alias("label"))
-    labels = scratch.keep(labels)
+    # from the last round back: where what each contig joined went in the end
+    to = scratch.keep(edges.coalesce(1).mapInPandas(least_linked, "a long, to long"))
+    for joined in reversed(joins):
+        far = lookup(joined, to.select(F.col("a").alias("to"), F.col("to").alias("end")), "to")
+        to = scratch.keep(far.select("a", F.coalesce("end", "to").alias("to")).unionByName(to.join(joined, "a", "left_anti")))
+    moved = ids.join(to.withColumnRenamed("a", "node_id"), "node_id", "left")
+    labels = scratch.keep(moved.select("node_id", F.coalesce("to", "node_id").alias("label")))
     least = labels.groupBy("label").agg(F.min("node_id").alias("locus_id"))
     return lookup(labels, least, "label").select("node_id", "locus_id")
 
