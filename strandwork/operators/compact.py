@@ -55,12 +55,11 @@ def joined_arcs(arcs: DataFrame, members: DataFrame, links: DataFrame) -> DataFr
 
     The link that closes a ring is one from the new contig to itself and stays.
     """
-    scratch = Scratch(arcs.sparkSession)
     at = members.select("contig", "stays", "side", "step")
     rows = arcs.join(links.withColumn("inside", F.lit(True)), ["src", "dst"], "left")
     for end in ("src", "dst"):
         named = at.select(*(F.col(c).alias(f"{end}_{c}") for c in at.columns))
-        rows = lookup(scratch.keep(rows.withColumn(f"{end}_contig", F.abs(end))), named, f"{end}_contig")
+        rows = lookup(rows.withColumn(f"{end}_contig", F.abs(end)), named, f"{end}_contig")
     along = (F.col("dst_step") - F.col("src_step")) * F.signum("src") * F.col("src_side")
     rows = rows.where(F.coalesce(~(F.col("inside") & (along == 1)), F.lit(True)))
     ends = (F.coalesce(F.col(f"{e}_stays") * F.signum(e).cast("long") * F.col(f"{e}_side"), F.col(e)).alias(e) for e in ("src", "dst"))
@@ -70,7 +69,7 @@ def joined_arcs(arcs: DataFrame, members: DataFrame, links: DataFrame) -> DataFr
 def joined_occurrences(occ: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
     """(read_id, node_id, pos, off): the first place of each read on each contig that chains become."""
     size = members.join(nodes.select(F.col("node_id").alias("contig"), "len"), "contig").drop("step")
-    rows = lookup(Scratch(occ.sparkSession).keep(occ.withColumn("contig", F.abs("node_id"))), size, "contig")
+    rows = lookup(occ.withColumn("contig", F.abs("node_id")), size, "contig")
     strand = F.signum("node_id").cast("long") * F.col("side")
     start = F.when(strand > 0, F.col("before")).otherwise(F.col("total") - F.col("before") - F.col("len"))
     placed = rows.select("read_id", F.coalesce(strand * F.col("stays"), "node_id").alias("node_id"), (F.coalesce(start, F.lit(0)) + F.col("pos")).alias("pos"), "off")

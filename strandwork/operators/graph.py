@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from strandwork.shared import Scratch, lookup
 
 
-def arcs_of_reads(occ: DataFrame, nodes: DataFrame) -> DataFrame:
+def arcs_of_reads(occ: DataFrame, nodes: DataFrame, heavy: list | None = None) -> DataFrame:
     """(src, dst, multiplicity): contigs that follow each other on a read, and the same of the twins.
 
-    A read's occurrences are few once repeats are gone (no more than its bases), so its window is small.
+    A read's occurrences are few once repeats are gone (no more than its bases), so its window is small. `heavy` are the
+    contigs with very many reads; if not given, they are counted in `occ`.
     """
-    known = lookup(Scratch(occ.sparkSession).keep(occ.withColumn("contig", F.abs("node_id"))), nodes.select(F.col("node_id").alias("contig")), "contig", "left_semi")
+    known = lookup(occ.withColumn("contig", F.abs("node_id")), nodes.select(F.col("node_id").alias("contig")), "contig", "left_semi", heavy)
     next_ = F.lead("node_id").over(Window.partitionBy("read_id").orderBy("off", "pos", "node_id"))
     steps = known.withColumn("dst", next_).where("dst is not null").select(F.col("node_id").alias("src"), "dst")
     twins = steps.where("src <> -dst").select((-F.col("dst")).alias("src"), (-F.col("src")).alias("dst"))
@@ -40,10 +41,10 @@ def low_coverage_nodes(nodes: DataFrame, cutoff: float) -> DataFrame:
     return nodes.where((F.col("len") > 0) & (F.col("cov") / F.col("len") < cutoff)).select("node_id", "len", "cov")
 
 
-def dubious_reads(occ: DataFrame, dropped: DataFrame) -> DataFrame:
+def dubious_reads(occ: DataFrame, dropped: DataFrame, heavy: list | None = None) -> DataFrame:
     """Reads that lie on a dropped node, on either strand."""
-    placed = Scratch(occ.sparkSession).keep(occ.select("read_id", F.abs("node_id").alias("node_id")))
-    return lookup(placed, dropped.select("node_id"), "node_id", "left_semi").select("read_id").distinct()
+    placed = occ.select("read_id", F.abs("node_id").alias("node_id"))
+    return lookup(placed, dropped.select("node_id"), "node_id", "left_semi", heavy).select("read_id").distinct()
 
 
 def low_fraction_arcs(arcs: DataFrame, fraction: float) -> DataFrame:
@@ -76,11 +77,11 @@ def minority_tips(nodes: DataFrame, arcs: DataFrame, k: int) -> DataFrame:
     return rows.where(minor).select(F.abs("node_id").alias("node_id")).distinct()
 
 
-def clip_tips(nodes: DataFrame, arcs: DataFrame, k: int, rounds: int = 1000) -> DataFrame:
+def clip_tips(nodes: DataFrame, arcs: DataFrame, k: int) -> DataFrame:
     """The nodes that stay when tips are clipped again and again until none is left."""
     scratch = Scratch(nodes.sparkSession)
     nodes, arcs = scratch.keep(nodes.select("node_id", "len")), scratch.keep(arcs.select("src", "dst"))
-    for _ in range(rounds):
+    while True:
         short = scratch.keep(tips(nodes, arcs, k))
         if short.isEmpty():
             return nodes
@@ -88,7 +89,6 @@ def clip_tips(nodes: DataFrame, arcs: DataFrame, k: int, rounds: int = 1000) ->
         for end in ("src", "dst"):
             arcs = arcs.join(short, F.abs(end) == short.node_id, "left_anti")
         arcs = scratch.keep(arcs)
-    raise RuntimeError(f"tips are left after {rounds} rounds")
 
 
 def chain_links(arcs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandwork.functions.stats import expected_pairs, pair_score
 from strandwork.operators.clean import both_ways
+from strandwork.shared import heavy_keys, lookup
 
 
 def occurrences_by_read(occ: DataFrame) -> DataFrame:
@@ -16,11 +17,15 @@ def occurrences_by_read(occ: DataFrame) -> DataFrame:
     return hits.select("read_id", "node_id", F.when(once, F.col("p")).otherwise(-1).alias("pos"), F.when(once, F.col("o")).otherwise(-1).alias("off"), "n")
 
 
-def usable(occ: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Occurrences that count for connections, with the length and uniqueness of their contig; few contigs a read remain."""
+def usable(occ: DataFrame, nodes: DataFrame, heavy: list | None = None) -> DataFrame:
+    """Occurrences that count for connections, with the length and uniqueness of their contig; few contigs a read remain.
+
+    `heavy` are the contigs with very many reads; if not given, they are counted in `occ`.
+    """
+    heavy = heavy_keys(occ.select(F.abs("node_id").alias("contig")), "contig") if heavy is None else heavy
     rows = occurrences_by_read(occ).where("off >= 0 and not (pos = -1 and off = -1)").drop("n")
     known = nodes.select(F.col("node_id").alias("contig"), "len", "is_unique")
-    return rows.withColumn("contig", F.abs("node_id")).join(known, "contig").drop("contig")
+    return lookup(rows.withColumn("contig", F.abs("node_id")), known, "contig", "inner", heavy).drop("contig")
 
 
 def _sides(placed: DataFrame) -> tuple[DataFrame, DataFrame]:

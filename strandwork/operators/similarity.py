@@ -92,7 +92,7 @@ def merged_nodes(nodes: DataFrame, moved: DataFrame) -> DataFrame:
 
 def moved_ends(rows: DataFrame, moved: DataFrame, end: str) -> DataFrame:
     """`rows` with the signed contig in `end` replaced by the one that stays for it."""
-    known = Scratch(rows.sparkSession).keep(rows.withColumn("__contig", F.abs(end)))
+    known = rows.withColumn("__contig", F.abs(end))
     both = lookup(known, moved.select(F.col("dropped").alias("__contig"), F.col("kept").alias("__kept")), "__contig")
     return both.withColumn(end, F.coalesce(F.col("__kept") * F.signum(end).cast("long"), F.col(end))).select(rows.columns)
 
@@ -112,7 +112,7 @@ def merged_occurrences(occ: DataFrame, nodes: DataFrame, moved: DataFrame) -> Da
     scale = moved.join(size.select(F.col("node_id").alias("dropped"), F.col("len").alias("old")), "dropped")
     scale = scale.join(size.select(F.col("node_id").alias("stays"), F.col("len").alias("new")), F.abs("kept") == F.col("stays"))
     scale = scale.select(F.col("dropped").alias("contig"), "kept", "old", "new")
-    known = Scratch(occ.sparkSession).keep(occ.select("read_id", "node_id", "pos", "off", F.abs("node_id").alias("contig")))
+    known = occ.select("read_id", "node_id", "pos", "off", F.abs("node_id").alias("contig"))
     rows = lookup(known, scale, "contig")
     at = F.floor(F.col("pos") * F.col("new") / F.greatest("old", F.lit(1)))
     within = F.greatest(F.least(at, F.col("new") - 1), F.lit(0)).cast("long")

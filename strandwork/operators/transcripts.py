@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.shared import Scratch, lookup
+from strandwork.shared import Scratch, lookup, salted
 
 
 def nearest_incoming(edges: DataFrame) -> DataFrame:
@@ -356,23 +356,24 @@ def sequences(laid: DataFrame, nodes: DataFrame, k: int, gaps_in_kmers: bool = F
     return joined.where("n = last + 1").select("locus_id", "transcript_id", fold.alias("seq"))
 
 
-def used_reads(occ: DataFrame, laid: DataFrame, least: int) -> DataFrame:
+def used_reads(occ: DataFrame, laid: DataFrame, least: int, heavy: list | None = None) -> DataFrame:
     """(read_id): reads that lie on a contig, on either strand, of a transcript of at least `least` bases."""
     long_ = lengths(laid).where(F.col("length") >= least).select("transcript_id")
     contigs = laid.join(long_, "transcript_id", "left_semi").select(F.abs("node_id").alias("contig")).distinct()
     on = occ.select("read_id", F.abs("node_id").alias("contig")).distinct()
-    return lookup(Scratch(occ.sparkSession).keep(on), contigs, "contig", "left_semi").select("read_id").distinct()
+    return lookup(on, contigs, "contig", "left_semi", heavy).select("read_id").distinct()
 
 
-def read_mappings(laid: DataFrame, occ: DataFrame, k: int) -> DataFrame:
+def read_mappings(laid: DataFrame, occ: DataFrame, k: int, heavy: list | None = None) -> DataFrame:
     """(transcript_id, read_id, same, start, finish, contigs): where reads lie along transcripts.
 
     Consecutive contigs of a transcript that a read has, all on the same or all on the other strand (`same`), are
-    one mapping; a contig that the read has not begins a new one. Places are bases of the transcript, from 1.
+    one mapping; a contig that the read has not begins a new one. Places are bases of the transcript, from 1. The reads
+    of a contig with very many (`heavy`) are spread over tasks.
     """
     rows = laid.select("transcript_id", "ord", "node_id", (F.col("finish") - F.col("gap") - F.col("len")).alias("start"), (F.col("finish") - F.col("gap")).alias("finish"), F.abs("node_id").alias("contig"))
     reads = occ.select("read_id", F.abs("node_id").alias("contig"), (F.col("node_id") > 0).alias("forward")).distinct()
-    hits = rows.join(reads, "contig").select("transcript_id", "read_id", ((F.col("node_id") > 0) == F.col("forward")).alias("same"), "ord", "start", "finish").distinct()
+    hits = salted(reads, rows, "contig", "inner", heavy).select("transcript_id", "read_id", ((F.col("node_id") > 0) == F.col("forward")).alias("same"), "ord", "start", "finish").distinct()
     along = Window.partitionBy("transcript_id", "read_id", "same").orderBy("ord")
     new = F.when(F.lag("ord").over(along) == F.col("ord") - 1, 0).otherwise(1)
     runs = hits.withColumn("new", new).withColumn("run", F.sum("new").over(along))

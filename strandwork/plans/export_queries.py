@@ -31,7 +31,7 @@ def contig_order_lines(spark, folder):
 
 def unused_reads_fasta(spark, folder):
     i = Inputs(spark, folder)
-    used = transcripts.used_reads(i.occ, transcripts.layout(i.paths, i.nodes, K), 100)
+    used = transcripts.used_reads(i.occ, transcripts.layout(i.paths, i.nodes, K), 100, i.heavy)
     names = table(spark, folder, "test_reads", "read_id", "name").where("read_id is not null").groupBy("read_id").agg(F.min("name").alias("name"))
     return sinks.reads_fasta(i.reads.join(used, "read_id", "left_anti").join(names, "read_id"))
 
@@ -67,7 +67,7 @@ def mapping_lines(spark, folder):
     i = Inputs(spark, folder)
     references = i.mates.where("category % 2 = 0").select("read_id")
     laid = transcripts.layout(i.paths, i.nodes, K)
-    return sinks.mapping_lines(transcripts.read_mappings(laid, i.occ.join(references, "read_id", "left_semi"), K))
+    return sinks.mapping_lines(transcripts.read_mappings(laid, i.occ.join(references, "read_id", "left_semi"), K, i.heavy))
 
 
 def assembly_messages(spark, folder):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandwork.operators import clean, compact, graph, scaffold, similarity
 from strandwork.plans.prelude import K, with_
-from strandwork.shared import Scratch
+from strandwork.shared import Scratch, heavy_keys
 from strandwork.sources.tables import table
 
 
@@ -16,6 +16,7 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder, self.scratch = spark, folder, Scratch(spark)
+        self._heavy: list | None = None
 
     def _table(self, name: str, *columns: str) -> DataFrame:
         return table(self.spark, self.folder, name, *columns)
@@ -37,6 +38,13 @@ class Inputs:
     def occ(self) -> DataFrame:
         return clean.occurrences(self._table("read_occ"))
 
+    @property
+    def heavy(self) -> list:
+        """The contigs that hold more than a thousandth of the occurrences each."""
+        if self._heavy is None:
+            self._heavy = heavy_keys(self._table("read_occ", "node_id").where("node_id <> 0").select(F.abs("node_id").alias("contig")), "contig")
+        return self._heavy
+
     @property
     def pairs(self) -> DataFrame:
         return clean.links(self._table("connections"))
@@ -55,11 +63,11 @@ class Inputs:
 
     @property
     def arcs(self) -> DataFrame:
-        return self.scratch.keep(graph.arcs_of_reads(self.occ, self.nodes))
+        return self.scratch.keep(graph.arcs_of_reads(self.occ, self.nodes, self.heavy))
 
     @property
     def placed(self) -> DataFrame:
-        return self.scratch.keep(scaffold.usable(self.occ, self.nodes))
+        return self.scratch.keep(scaffold.usable(self.occ, self.nodes, self.heavy))
 
     def evidence(self) -> tuple[DataFrame, DataFrame]:
         """Direct and paired connections, row by row."""
@@ -86,14 +94,14 @@ def coverage_cutoff(spark, folder):
 
 def dubious_reads(spark, folder):
     i = Inputs(spark, folder)
-    return graph.dubious_reads(i.occ, graph.low_coverage_nodes(i.nodes, 3.0))
+    return graph.dubious_reads(i.occ, graph.low_coverage_nodes(i.nodes, 3.0), i.heavy)
 
 
 def trusted_occurrences(spark, folder):
     """Occurrences of reads that lie on no node of low coverage, per node."""
     i = Inputs(spark, folder)
     occ = i.scratch.keep(i.occ)
-    bad = graph.dubious_reads(occ, graph.low_coverage_nodes(i.nodes, 3.0))
+    bad = graph.dubious_reads(occ, graph.low_coverage_nodes(i.nodes, 3.0), i.heavy)
     return occ.join(bad, "read_id", "left_anti").groupBy("node_id").agg(F.count("*").alias("occurrences"))
 
 

@@ -150,7 +150,7 @@ def merge_transcripts(spark, folder):
 def used_reads(spark, folder):
     """(used, all_reads, loci): reads on a transcript of 100 bases or more, all reads with a sequence, and loci with such a transcript."""
     i = Inputs(spark, folder)
-    used = transcripts.used_reads(i.occ, _laid(i), 100)
+    used = transcripts.used_reads(i.occ, _laid(i), 100, i.heavy)
     long_ = transcripts.lengths(_laid(i)).where("length >= 100")
     parts = (
         used.agg(F.lit("used").alias("what"), F.count("*").alias("n")),
@@ -162,14 +162,14 @@ def used_reads(spark, folder):
 
 def unused_reads(spark, folder):
     i = Inputs(spark, folder)
-    return i.reads.where("seq is not null").join(transcripts.used_reads(i.occ, _laid(i), 100), "read_id", "left_anti").select("read_id", "seq")
+    return i.reads.where("seq is not null").join(transcripts.used_reads(i.occ, _laid(i), 100, i.heavy), "read_id", "left_anti").select("read_id", "seq")
 
 
 def reference_mapping(spark, folder):
     """Where reads of an even category lie on transcripts: runs of consecutive contigs of one read."""
     i = Inputs(spark, folder)
     references = i.mates.where("category % 2 = 0").select("read_id")
-    return transcripts.read_mappings(_laid(i), i.occ.join(references, "read_id", "left_semi"), K)
+    return transcripts.read_mappings(_laid(i), i.occ.join(references, "read_id", "left_semi"), K, i.heavy)
 
 
 QUERIES = {

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The lists of roots that `tidy` is to delete, innermost last.
+_open: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in `spark.checkpoint.dir`.
@@ -24,18 +29,45 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _at(spark: SparkSession, path: str):
+    """The file system of `path` and the path, for the few calls that Spark has no reader or writer for."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables of every `Scratch` made inside; what was made of them must be written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for root in _open.pop():
+            files, path = _at(spark, root)
+            files.delete(path, True)
+
+
 class Scratch:
-    """Tables written during one query, each readable after any executor is lost."""
+    """Tables written during one query, each readable after any executor is lost.
+
+    They are deleted by `drop`, at the end of a `tidy` block, or when the application ends.
+    """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
         self._paths: dict[int, tuple[DataFrame, str]] = {}
+        if _open:
+            _open[-1].append(self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write `df` and return the table that was written; its plan starts at the files."""
+        first = not self._paths
         path = f"{self.root}/{len(self._paths)}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
+        if first:
+            files, root = _at(self.spark, self.root)
+            files.deleteOnExit(root)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(kept)] = (kept, path)
         return kept
@@ -44,38 +76,39 @@ class Scratch:
         """Delete tables of `keep` that no later step reads."""
         for kept in tables:
             _, path = self._paths.pop(id(kept))
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            files, at = _at(self.spark, path)
+            files.delete(at, True)
 
 
 def heavy_keys(df: DataFrame, key: str, share: int = 1000) -> list:
-    """The keys that hold more than one row in `share` of `df`: fewer than `share` keys, whatever the size of `df`."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    least = df.count() / share
-    return [] if least == 0 else [row[0] for row in counts.where(F.col("n") > max(least, 1)).collect()]
+    """The keys that hold more than one row in `share` of `df`: fewer than `share` keys, whatever the size of `df`.
+
+    One pass over `key` alone, in which each task keeps a sketch of ten times `share` candidates.
+    """
+    asked = F.expr(f"approx_top_k(`{key}`, {share}, {10 * share})")
+    rows, top = df.select(key).agg(F.count(F.lit(1)), asked).first()
+    return [k for k, n in top if k is not None and n > max(rows / share, 1)]
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", share: int = 1000) -> DataFrame:
-    """Join `left` to `right`, whose `key` is unique, though some keys may hold most of `left`.
+def salted(left: DataFrame, right: DataFrame, key: str, how: str = "inner", heavy: list | None = None, parts: int = 32) -> DataFrame:
+    """Join on `key`, though some keys (`heavy`, those of `left` if not given) may hold most of `left`.
 
-    Rows of `left` with a heavy key (under `share` keys, see `heavy_keys`) meet the at most `share` rows of
-    `right` that have one by a broadcast, so they stay where they are; all other rows are shuffled by key.
-    `how` is inner, left, left_semi or left_anti. Rows whose key is null match nothing and, if `how` keeps
-    them, are spread by a join key of their own.
+    Rows of `left` with a heavy key are spread over `parts` tasks by a hash of the whole row, and the rows of `right`
+    that have one are there in each; all others meet as in any join. Rows whose key is null match nothing and,
+    if `how` (inner, left, left_semi or left_anti) keeps them, are spread too.
     """
-    heavy = heavy_keys(left, key, share)
-    match = F.col(key).isin(heavy) if heavy else F.lit(False)
-    cold = left.where(F.col(key).isNotNull() & ~match)
-    parts = [cold.join(right, key, how)]
+    heavy = heavy_keys(left, key) if heavy is None else heavy
     if heavy:
-        few = right.where(match)
-        parts.append(left.where(match).join(F.broadcast(few), key, how))
-    if how in ("left", "left_anti"):
-        nulls = left.where(F.col(key).isNull())
-        for name in () if how == "left_anti" else (c for c in right.columns if c != key):
-            nulls = nulls.withColumn(name, F.lit(None).cast(right.schema[name].dataType))
-        parts.append(nulls)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        hot = F.col(key).isin(heavy)
+        right = right.withColumn("__salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    else:
+        hot = F.lit(False)
+        right = right.withColumn("__salt", F.lit(0))
+    spread = hot | F.col(key).isNull() if how in ("left", "left_anti") else hot
+    left = left.withColumn("__salt", F.when(spread, F.pmod(F.xxhash64(*left.columns), F.lit(parts)).cast("int")).otherwise(0))
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", heavy: list | None = None) -> DataFrame:
+    """`salted` for a `right` whose `key` is unique: fewer than 1,000 of its rows are repeated, however large `left` is."""
+    return salted(left, right, key, how, heavy)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwork.operators import clean, graph, kmers, loci, scaffold, similarity, splicing, transcripts
-from strandwork.operators.skew import count_distinct_by_tree, stale_contig_counts, tree_aggregate
+from strandwork.operators.skew import count_distinct_by_tree, levels, stale_contig_counts, tree_aggregate
 from strandwork.shared import Scratch, heavy_keys, lookup
 
 
@@ -39,13 +39,25 @@ def test_distinct_by_tree_with_a_hot_key(spark):
     assert rows(count_distinct_by_tree(df, "k", "v", "n", fan_in=2)) == rows(want)
 
 
+def test_no_merge_takes_more_states_than_the_fan_in(spark):
+    df = spark.range(20000, numPartitions=9).selectExpr("if(id < 12000, 1, id % 40) as k", "id as v")
+    *before, last = levels(df, ["k"], {"n": ("count", F.col("v"))}, 3, 100)
+    assert len(before) == 5  # 23 chunks a partition in three rounds, 9 partitions in two
+    for a, b in zip(before, [*before[1:], last]):
+        merged = a.groupBy("k").count().join(b.groupBy("k").count().withColumnRenamed("count", "to"), "k")
+        assert merged.where("count > 3 * to").isEmpty() and a.count() > b.count()
+    assert last.groupBy("k").count().where("count > 1").isEmpty()
+    assert rows(last.select("k", "n")) == rows(df.groupBy("k").agg(F.count("*").alias("n")))
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_lookup_is_the_plain_join(spark, how):
     left = spark.range(3000).selectExpr("case when id < 2000 then 1L when id % 7 = 0 then null else id % 90 end as k", "id as v")
     right = spark.range(0, 60, 2).selectExpr("id + 1 as k", "id * 10 as w")
-    assert heavy_keys(left, "k", 10) == [1]
+    heavy = heavy_keys(left, "k", 10)
+    assert heavy == [1] and heavy_keys(left.where("false"), "k") == []
     key = lambda r: tuple((x is None, x) for x in r)
-    got, want = lookup(left, right, "k", how, share=10), left.join(right, "k", how)
+    got, want = lookup(left, right, "k", how, heavy), left.join(right, "k", how)
     assert sorted(map(tuple, got.select(want.columns).collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
 
 
@@ -172,9 +184,10 @@ def test_heaviest_path_by_brute_force_with_cycles(spark):
     assert found.score == heaviest(edges, order) == sum(weight[s] for s in zip(found.node_path, found.node_path[1:]))
 
 
-def test_components_by_brute_force(spark):
+@pytest.mark.parametrize("few", [0, 20, 1 << 17])
+def test_components_by_brute_force(spark, few):
     draw = random.Random(3)
-    edges = [(draw.choice([-1, 1]) * draw.randrange(1, 80), draw.randrange(1, 120)) for _ in range(60)] + [(i, i + 1) for i in range(200, 260)]
+    edges = [(200, i) for i in range(210, 260, 3)] + [(draw.choice([-1, 1]) * draw.randrange(1, 80), draw.randrange(1, 120)) for _ in range(60)] + [(i, i + 1) for i in range(200, 260)]
     nodes = nodes_of(spark, {i: 10 for i in list(range(1, 80)) + list(range(200, 261))})
     up = {i: i for i in list(range(1, 80)) + list(range(200, 261))}
 
@@ -187,9 +200,9 @@ def test_components_by_brute_force(spark):
         if a in up and b in up:
             a, b = root(a), root(b)
             up[max(a, b)] = min(a, b)
-    got = loci.components(nodes, spark.createDataFrame(edges, "src long, dst long"))
+    got = loci.components(nodes, spark.createDataFrame(edges, "src long, dst long"), few)
     assert rows(got) == sorted((x, root(x)) for x in up)
-    assert loci.components(nodes.where("false"), spark.createDataFrame(edges, "src long, dst long")).count() == 0
+    assert loci.components(nodes.where("false"), spark.createDataFrame(edges, "src long, dst long"), few).count() == 0
 
 
 def test_layout_lengths_and_sequences(spark):
