@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from strandwork.llm.frequent import Hashes, most_frequent
+from strandwork.llm.frequent import Hashes, bucket_counts, first_threshold, most_frequent, reaching
 
 
 def exact(rows, n):
@@ -20,12 +20,24 @@ def got(spark, rows, n, hashes):
     return [tuple(r) for r in most_frequent(df, F.col("v"), "r", n, hashes).orderBy(F.desc("records"), "value").collect()]
 
 
-@pytest.mark.parametrize("buckets", [1, 16, 65536])
-def test_matches_brute_force(spark, buckets):
+@pytest.mark.parametrize("hashes", [Hashes(rows_each=10**9, least=1), Hashes(least=16), Hashes(least=16, broadcast=0), Hashes()])
+def test_matches_brute_force(spark, hashes):
     draw = random.Random(2)
     rows = [(f"v{int(draw.paretovariate(0.7))}", i) for i in range(5000)]
     rows += [(None, 1), ("v1", None), (None, None)] + [("often delivered", 6000)] * 900 + rows[:400]
-    assert got(spark, rows, 10, Hashes(3, buckets)) == exact(rows, 10)
+    assert got(spark, rows, 10, hashes) == exact(rows, 10)
+
+
+def test_a_flat_column_leaves_few_survivors(spark):
+    """20 values of 120 rows among 30,000 of 5: with counters that grow with the rows the filter keeps little else."""
+    df = spark.range(152_400).selectExpr("if(id < 2400, id % 20, id % 30000 + 100) as value")
+    left = {}
+    for hashes in (Hashes(), Hashes(least=1024), Hashes(rows_each=10**9, least=1024)):
+        buckets = hashes.buckets(152_400)
+        counts = bucket_counts(df, "value", hashes, buckets)
+        least = first_threshold(counts, 20, buckets, 152_400)
+        left[buckets] = reaching(df, "value", counts, min(least, 120), hashes, buckets, 152_400).distinct().count()
+    assert left[65536] == 20 and left[4096] < 200 and left[1024] > 10_000
 
 
 def test_fewer_values_than_asked_ties_and_empty(spark):
