@@ -82,6 +82,18 @@ def test_kmers_by_brute_force(spark):
     assert {(b[::-1].translate(turn), a[::-1].translate(turn), n) for a, b, n in arcs} == set(arcs)
 
 
+@pytest.mark.parametrize("k", [4, 5, 21, 30, 31, 32])
+def test_packed_kmers_are_those_of_the_letters(spark, k, monkeypatch):
+    draw = random.Random(k)
+    monkeypatch.setattr(kmers, "PIECE", 100)
+    base = "".join(draw.choice("ACGT") for _ in range(90))
+    seqs = [base[a : a + draw.randrange(80)] + draw.choice(["", "N", "é", base]) for a in range(60)] + [None, "", "T" * k, "A" * k, "AT" * k]
+    df = spark.createDataFrame([(s,) for s in seqs], "seq string")
+    assert rows(kmers.kmer_counts(df, k)) == rows(kmers.strand_counts(df, k).select("kmer", "n"))
+    if k % 2:
+        assert rows(kmers.kmer_arcs(df, k, 2)) == rows(kmers._long_kmer_arcs(df, k, 2))
+
+
 def arcs_of(spark, edges):
     both = {(a, b) for a, b in edges} | {(-b, -a) for a, b in edges}
     return spark.createDataFrame([(a, b, 3) for a, b in sorted(both)], "src long, dst long, multiplicity long")
