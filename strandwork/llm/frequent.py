@@ -27,14 +27,15 @@ class Hashes:
     def buckets(self, rows: int) -> int:
         return max(self.least, 1 << math.ceil(math.log2(max(rows / self.rows_each, 1))))
 
-    def of(self, value: Column, buckets: int) -> list[Column]:
-        return [F.pmod(F.xxhash64(F.lit(i), value), F.lit(buckets)) for i in range(self.count)]
+    def of(self, mark: Column, buckets: int) -> list[Column]:
+        """A bucket under each hash; `mark` is a 64-bit hash of the value, so a long value is read once."""
+        return [F.pmod(F.xxhash64(F.lit(i), mark), F.lit(buckets)) for i in range(self.count)]
 
 
 def bucket_counts(values: DataFrame, value: str, hashes: Hashes, buckets: int) -> DataFrame:
     """(hash, bucket, rows): exact row counts per bucket under each hash, combined in every task before the shuffle."""
-    pairs = F.array(*(F.struct(F.lit(i).alias("hash"), b.alias("bucket")) for i, b in enumerate(hashes.of(F.col(value), buckets))))
-    return values.select(F.inline(pairs)).groupBy("hash", "bucket").agg(F.count("*").alias("rows"))
+    pairs = F.array(*(F.struct(F.lit(i).alias("hash"), b.alias("bucket")) for i, b in enumerate(hashes.of(F.col("mark"), buckets))))
+    return values.select(F.xxhash64(value).alias("mark")).select(F.inline(pairs)).groupBy("hash", "bucket").agg(F.count("*").alias("rows"))
 
 
 def reaching(values: DataFrame, value: str, counts: DataFrame, least: int, hashes: Hashes, buckets: int, rows: int) -> DataFrame:
@@ -44,7 +45,8 @@ def reaching(values: DataFrame, value: str, counts: DataFrame, least: int, hashe
     rows of `values`, so `rows` / `least` the full buckets of a hash.
     """
     few = rows / least <= hashes.broadcast
-    for i, bucket in enumerate(hashes.of(F.col(value), buckets)):
+    values = values.withColumn("__mark", F.xxhash64(value))
+    for i, bucket in enumerate(hashes.of(F.col("__mark"), buckets)):
         full = counts.where((F.col("hash") == i) & (F.col("rows") >= least))
         values = values.withColumn("__bucket", bucket)
         if few:
@@ -53,7 +55,7 @@ def reaching(values: DataFrame, value: str, counts: DataFrame, least: int, hashe
             heavy = [row[0] for row in full.where(F.col("rows") > rows / 1000).select("bucket").collect()]  # fewer than 1,000
             values = lookup(values, full.select(F.col("bucket").alias("__bucket")), "__bucket", "left_semi", heavy)
         values = values.drop("__bucket")
-    return values
+    return values.drop("__mark")
 
 
 def first_threshold(counts: DataFrame, n: int, buckets: int, rows: int) -> int:
