@@ -14,7 +14,7 @@ from strandwork.llm.packing import fill_containers, token_pieces
 from strandwork.llm.seen import ChainSettings, seen_before, with_truth
 from strandwork.llm.subjects import subject_areas
 from strandwork.llm.topn import top_n_per_group
-from strandwork.shared import Scratch, lookup
+from strandwork.shared import Scratch, heavy_keys, lookup
 from strandwork.sources.tables import table
 
 
@@ -52,16 +52,18 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def node_links(spark: SparkSession, folder: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of problem 3. A read is a node of its own among the edges, at odd numbers; contigs have the even ones.
 
-    So reads that lie on many contigs, or hold many rows, cost no more than their rows.
+    So reads that lie on many contigs, or hold many rows, cost no more than their rows. Contigs with very many rows are
+    found by scans of the one column.
     """
     nodes = scratch.keep(table(spark, folder, "nodes", "node_id").dropna().select(F.abs("node_id").alias("node_id")).where("node_id <> 0").distinct())
     both = table(spark, folder, "connections", "src", "dst", "active").where("active and src <> 0 and dst <> 0")
-    ends = scratch.keep(both.select(F.abs("src").alias("src"), F.abs("dst").alias("dst")).where("src <> dst"))
+    ends = both.select(F.abs("src").alias("src"), F.abs("dst").alias("dst")).where("src <> dst")
     for end in ("src", "dst"):
-        ends = scratch.keep(lookup(ends, nodes.withColumnRenamed("node_id", end), end, "left_semi"))
+        heavy = heavy_keys(both.select(F.abs(end).alias(end)), end)
+        ends = lookup(ends, nodes.withColumnRenamed("node_id", end), end, "left_semi", heavy)
     placed = table(spark, folder, "read_occ").where("read_id is not null and node_id <> 0 and not (node_position = -1 and read_offset = -1)")
-    placed = scratch.keep(placed.select("read_id", F.abs("node_id").alias("node_id")))
-    placed = lookup(placed, nodes, "node_id", "left_semi")
+    placed = placed.select("read_id", F.abs("node_id").alias("node_id"))
+    placed = lookup(placed, nodes, "node_id", "left_semi", heavy_keys(placed, "node_id"))
     edges = ends.select((F.col("src") * 2).alias("a"), (F.col("dst") * 2).alias("b"))
     return nodes, edges.unionByName(placed.select((F.col("node_id") * 2).alias("a"), (F.col("read_id") * 2 + 1).alias("b")))
 
@@ -133,6 +135,16 @@ SQL: dict[str, str] = {
           from (select distinct locus_id, transcript_id, confidence from transcripts
                 where locus_id is not null and confidence > 0 and confidence <= 1 and not isnan(confidence)))
         where place <= 3""",
+    "p3_found": """
+        with recursive n as (select distinct abs(node_id) as node_id from nodes where node_id <> 0),
+        placed as (select distinct read_id, abs(node_id) as c from read_occ where read_id is not null
+          and not (node_position = -1 and read_offset = -1) and abs(node_id) in (select node_id from n)),
+        links as (select abs(src) as a, abs(dst) as b from connections where active
+            and abs(src) in (select node_id from n) and abs(dst) in (select node_id from n)
+          union select min(c) over (partition by read_id), c from placed),
+        both_ways as (select a, b from links where a <> b union select b, a from links where a <> b),
+        walk as (select node_id, node_id as far from n union select w.node_id, e.b from walk w join both_ways e on e.a = w.far)
+        select node_id, min(far) as group_id from walk group by 1""",
     "p4_found": f"""
         select seq from (select {KEY} as seq, count(distinct read_id) as records from test_reads group by 1)
         where seq is not null order by records desc, seq limit 20""",
