@@ -57,5 +57,26 @@ def test_blocks_give_the_same(spark):
     assert one == many and set(one) == {(100 + i, i) for i in range(0, 12, 2)}
 
 
+def test_the_driver_holds_one_block_at_a_time(spark, monkeypatch):
+    """Each block of items is gone from the tasks before the next one is taken."""
+    held, sizes = [], []
+    plain = type(spark.sparkContext).broadcast
+
+    def counted(self, value):
+        assert not held
+        sizes.append(len(value))
+        shared = plain(self, value)
+        held.append(shared)
+        destroy = shared.destroy
+        shared.destroy = lambda *a: (held.clear(), destroy(*a))
+        return shared
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", counted)
+    items = [(i, " ".join(sentence(i, 30))) for i in range(40)]
+    docs = [(100 + i, "see " + " ".join(sentence(i, 30)[4:28])) for i in range(0, 40, 4)]
+    assert len(leaks(spark, docs, items, block_bytes=1200)) == 10
+    assert len(sizes) > 3 and sum(sizes) == 40 and max(sizes) < 25
+
+
 def test_empty_tables(spark):
     assert leaks(spark, [], [(1, "a b c")]) == {} and leaks(spark, [(1, "a b c")], []) == {}
