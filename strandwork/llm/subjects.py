@@ -18,6 +18,8 @@ from strandwork.shared import Scratch
 
 CODE = re.compile(r"<pre\b.*?</pre>|```.*?(?:```|\Z)|<code\b.*?</code>|`[^`\n]+`", re.S | re.I)
 INDENTED = re.compile(r"^(?: {4,}|\t).*$", re.M)
+#: Six plain words in a row or more, and what follows them in the line.
+PROSE = re.compile(r"(?:[^\W\d_]+(?:[-'’][^\W\d_]+)*[,:]? ){5,}[^\W\d_]+.*$")
 MARKUP = re.compile(r"<[^<>]+>|https?://\S+|&#?\w+;")
 UNSEEN = re.compile("[­​‌‍⁠﻿]")
 WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
@@ -37,8 +39,11 @@ class Training:
 
 
 def prose_words(text: str) -> Counter:
-    """The words of `text` in lower case with their counts, without code, markup and addresses."""
-    prose = INDENTED.sub(" ", CODE.sub(" ", text))
+    """The words of `text` in lower case with their counts, without code, markup and addresses.
+
+    Indented lines count as code up to six plain words in a row, if they have that many: line breaks may have been lost.
+    """
+    prose = INDENTED.sub(lambda line: " " + (found[0] if (found := PROSE.search(line[0])) else ""), CODE.sub(" ", text))
     return Counter(WORD.findall(UNSEEN.sub("", MARKUP.sub(" ", prose)).lower()))
 
 
@@ -89,8 +94,10 @@ def labelled(docs: DataFrame, labels: DataFrame, subjects: list[str], t: Trainin
     """
     name = F.lower(F.trim("subject"))
     given = labels.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set(name).alias("given"))
-    given = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(t.documents)
-    rows = docs.where("text is not null").join(F.broadcast(given), "doc_id")
+    # labels of documents that are not there take no one's place
+    known = given.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi")
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(t.documents)
+    rows = docs.where("text is not null").join(F.broadcast(known), "doc_id")
     rows = rows.repartition(t.parts, "doc_id").sortWithinPartitions("doc_id")
     keys = [s.strip().lower() for s in subjects]
 

@@ -30,10 +30,10 @@ def tables(spark, rows, labels):
 def test_held_out_accuracy(spark):
     rows = corpus(700, 1)
     labels = [(i, draw, 1) for i, _, subjects in rows[:400] for draw in ([f" {s.upper()} " for s in subjects] or [None])]
-    labels += labels[:50] + [(99999, "boats", 2), (None, "boats", 2), (5, "no such subject", 3)]
+    labels += labels[:50] + [(90000 + i, "boats", 2) for i in range(500)] + [(99999, "boats", 2), (None, "boats", 2), (5, "no such subject", 3)]
     rows += [(1000, None, []), (1001, "", []), (1002, "```\nkeel rudder mast\n```", [])]
     docs, subjects, given = tables(spark, rows, labels)
-    got = {(r[0], r[1]) for r in subject_areas(docs, subjects, given, Training(steps=30, parts=2, buckets=4096)).collect()}
+    got = {(r[0], r[1]) for r in subject_areas(docs, subjects, given, Training(documents=420, steps=30, parts=2, buckets=4096)).collect()}
     true = {(i, s) for i, _, subjects in rows[400:] for s in subjects}
     got = {x for x in got if x[0] >= 400}
     assert 2 * len(got & true) / (len(got) + len(true)) > 0.95
@@ -57,4 +57,5 @@ def test_the_number_of_partitions_does_not_matter(spark):
 
 
 def test_code_and_markup_are_not_read():
+    assert dict(prose_words("    return x; but the mast was never very tall (really)\n    mast mast")) == dict.fromkeys("but the mast was never very tall really".split(), 1)
     assert dict(prose_words("<b>Keel</b> `mast` <pre><code>dough</code></pre>\n    crust\nhttp://a.b/c ke​el")) == {"keel": 2}
