@@ -182,7 +182,7 @@ def score(docs: DataFrame, weights: list[np.ndarray], subjects: list[str], t: Tr
     return spread(docs.where("doc_id is not null and text is not null"), "doc_id").mapInPandas(run, f"doc_id {kind}, subject string, score double")
 
 
-def subject_areas(docs: DataFrame, subjects: DataFrame, labels: DataFrame, t: Training = Training(), least: float = 0.2) -> DataFrame:
+def subject_areas(docs: DataFrame, subjects: DataFrame, labels: DataFrame, t: Training = Training(), least: float = 0.15) -> DataFrame:
     """(doc_id, subject, score): the subject areas of each document, none, one or more.
 
     `docs` has doc_id and text, `subjects` has subject (a short list, taken to the driver), `labels` has doc_id and
