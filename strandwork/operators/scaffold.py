@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.functions.stats import expected_pairs, pair_score
 from strandwork.operators.clean import both_ways
-from strandwork.shared import heavy_keys, lookup
+from strandwork.shared import heavy_keys, lookup, numbered_within
 
 
 def occurrences_by_read(occ: DataFrame) -> DataFrame:
@@ -162,8 +162,8 @@ def gapped(pairs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
 def by_distance(pairs: DataFrame) -> DataFrame:
     """(src, dst, distance, place): each contig's connections, nearest first, ties by destination."""
-    near = Window.partitionBy("src").orderBy("distance", "dst")
-    return both_ways(pairs).withColumn("place", F.row_number().over(near)).select("src", "dst", "distance", "place")
+    placed = numbered_within(both_ways(pairs).select("src", "dst", "distance"), "src", "place", "distance", "dst")
+    return placed.withColumn("place", F.col("place").cast("int"))
 
 
 def transitive_edges(pairs: DataFrame) -> DataFrame:

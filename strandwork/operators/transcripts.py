@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from graphlib import CycleError, TopologicalSorter
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.shared import Scratch, lookup, salted
+from strandwork.shared import Scratch, lookup, numbered_within, salted
 
 
 def nearest_incoming(edges: DataFrame) -> DataFrame:
@@ -19,7 +25,7 @@ def nearest_incoming(edges: DataFrame) -> DataFrame:
 def sinks(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(locus_id, node_id, number): contigs without an edge out, in the order of the locus, from 1."""
     ends = members.join(edges.select("locus_id", F.col("src").alias("node_id")), ["locus_id", "node_id"], "left_anti")
-    return ends.withColumn("number", F.row_number().over(Window.partitionBy("locus_id").orderBy("ord", "node_id")))
+    return numbered_within(ends, "locus_id", "number", "ord", "node_id").withColumn("number", F.col("number").cast("int"))
 
 
 def walk_back(starts: DataFrame, back: DataFrame, longest: int) -> DataFrame:
@@ -185,10 +191,9 @@ def heaviest_paths(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def unexplained_contigs(members: DataFrame, paths: DataFrame) -> DataFrame:
-    """Long contigs of a locus that lie on none of its transcripts, either strand."""
+    """Contigs of a locus, long or not, that lie on none of its transcripts, either strand."""
     on = paths.select("locus_id", F.explode("node_path").alias("n")).select("locus_id", F.abs("n").alias("contig")).distinct()
-    long_ = members.where("is_long").withColumn("contig", F.abs("node_id"))
-    return long_.join(on, ["locus_id", "contig"], "left_anti").select("locus_id", "node_id")
+    return members.withColumn("contig", F.abs("node_id")).join(on, ["locus_id", "contig"], "left_anti").select("locus_id", "node_id")
 
 
 def heaviest_unused(members: DataFrame, paths: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -200,17 +205,94 @@ def heaviest_unused(members: DataFrame, paths: DataFrame, nodes: DataFrame) -> D
     return best.select("locus_id", (-F.col("best.other")).alias("node_id"), F.col("best.cov").alias("cov"))
 
 
-def path_cover(members: DataFrame, edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """(locus_id, node_path): the heaviest path of each locus, then heaviest paths through what is on none yet.
+def path_cover(members: DataFrame, edges: DataFrame, nodes: DataFrame, most: int, small: int = 100_000) -> DataFrame:
+    """(locus_id, turn, score, node_path): the heaviest path of each locus, then heaviest paths through what is on none yet.
 
-    Each round takes the contig of largest coverage on no path (`heaviest_unused`) and makes its edges weigh more than
+    Each turn takes the contig of largest coverage on no path (`heaviest_unused`) and makes its edges weigh more than
     all others of the locus together, for all loci at once that have one, up to `most` paths in each. A contig that has
-    no edge stands alone.
+    no edge stands alone; its score is null, as is that of a turn whose path does not reach its contig.
+
+    Loci without a cycle, of at most `small` contigs and edges, are taken through all their turns by one task each; those
+    that are larger or have cycles in rounds of joins, spread like any other rows.
     """
     scratch = Scratch(members.sparkSession)
+    cov = members.withColumn("contig", F.abs("node_id")).join(nodes.select(F.col("node_id").alias("contig"), "cov"), "contig", "left")
+    contigs = cov.select("locus_id", "node_id", F.coalesce("cov", F.lit(0)).alias("cov"), *(F.lit(None).cast(kind).alias(c) for c, kind in (("src", "long"), ("dst", "long"), ("weight", "double"))))
+    links = edges.select("locus_id", *(F.lit(None).cast("long").alias(c) for c in ("node_id", "cov")), "src", "dst", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    both = scratch.keep(contigs.unionByName(links))
+    few = scratch.keep(both.groupBy("locus_id").agg(F.count("*").alias("n")).where(F.col("n") <= small).select("locus_id"))
+    whole = both.join(few, "locus_id", "left_semi").repartition("locus_id").sortWithinPartitions("locus_id")
+    tried = scratch.keep(whole.mapInArrow(_covers(most), "locus_id long, turn int, score double, node_path array<long>"))
+    done = few.join(tried.where("node_path is null").select("locus_id"), "locus_id", "left_anti")
+    rest = scratch.keep(members.join(done, "locus_id", "left_anti"))
+    found = tried.where("node_path is not null")
+    if rest.isEmpty():
+        return found
+    return found.unionByName(_cover_in_rounds(rest, scratch.keep(edges.join(done, "locus_id", "left_anti")), nodes, most))
+
+
+def _covers(most: int):
+    """Covers of the loci of a task, whose rows come locus by locus."""
+    schema = pa.schema([("locus_id", pa.int64()), ("turn", pa.int32()), ("score", pa.float64()), ("node_path", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
+        out: list[tuple] = []
+        for locus, group in groupby(rows, key=itemgetter(0)):
+            lines = list(group)
+            contigs = {node: cov for _, node, cov, *_ in lines if node is not None}
+            out += [(locus, *path) for path in small_cover(contigs, [line[3:] for line in lines if line[1] is None], most)]
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return run
+
+
+def small_cover(contigs: dict[int, int], edges: list[tuple[int, int, float]], most: int) -> list[tuple]:
+    """(turn, score, path) of one locus of `contigs` with their coverage and `edges` (src, dst, weight); a single (0, None, None) if it has a cycle."""
+    weights: dict[int, dict[int, float]] = {}
+    for src, dst, weight in edges:
+        into = weights.setdefault(dst, {})
+        into[src] = max(weight, into.get(src, 0.0))
+    ends = sorted({n for dst, into in weights.items() for n in (dst, *into) if {dst} != set(into)})
+    try:
+        order = list(TopologicalSorter({dst: set(into) - {dst} for dst, into in weights.items()}).static_order())
+    except CycleError:
+        return [(0, None, None)]
+    total = sum(weight for *_, weight in edges) + 1
+    left = {node: cov for node, cov in contigs.items() if cov > 0}
+    out: list[tuple] = []
+    for turn in range(most):
+        forced = None if turn == 0 and edges else max(left, key=lambda n: (left[n], -n), default=None)
+        if turn and forced is None:
+            break
+        score, via = dict.fromkeys(ends, 0.0), {}
+        for node in order:
+            for src, weight in sorted(weights.get(node, {}).items()):
+                offer = score.get(src, 0.0) + weight + (total if forced in (src, node) else 0.0)
+                if src != node and (offer > score[node] or offer == score[node] and node not in via):
+                    score[node], via[node] = offer, src
+        path = [max(ends, key=lambda n: (score[n], -n))] if ends else []
+        while path and path[0] in via:
+            path.insert(0, via[path[0]])
+        if forced is not None and forced not in path:
+            out.append((turn, None, [forced]))
+        elif path:
+            out.append((turn, score[path[-1]], path))
+        gone = {abs(n) for n in out[-1][2]} if out else set()
+        left = {n: c for n, c in left.items() if abs(n) not in gone}
+    return out
+
+
+def _cover_in_rounds(members: DataFrame, edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """`path_cover` of loci of any size and shape."""
+    scratch = Scratch(members.sparkSession)
     order = in_path_order(members, edges)
     total = scratch.keep(edges.groupBy("locus_id").agg((F.sum(F.coalesce("weight", F.lit(0.0))) + 1).alias("total")))
-    found = members.select("locus_id", F.array("node_id").alias("node_path")).where("false")
+    found = members.select("locus_id", F.lit(0).alias("turn"), F.lit(0.0).alias("score"), F.array("node_id").alias("node_path")).where("false")
     for turn in range(most):
         forced = heaviest_unused(members, found, nodes).select("locus_id", F.col("node_id").alias("forced"))
         if turn == 0:
@@ -223,7 +305,8 @@ def path_cover(members: DataFrame, edges: DataFrame, nodes: DataFrame, most: int
         around = scratch.keep(around.select("locus_id", "src", "dst", (F.coalesce("weight", F.lit(0.0)) + extra).alias("weight")))
         paths = heaviest_paths(order, around).join(forced, "locus_id", "full")
         through = F.col("forced").isNull() | F.array_contains("node_path", F.col("forced"))
-        fresh = paths.select("locus_id", F.when(through, F.col("node_path")).otherwise(F.array("forced")).alias("node_path"))
+        path = F.when(through, F.col("node_path")).otherwise(F.array("forced"))
+        fresh = paths.select("locus_id", F.lit(turn).alias("turn"), F.when(through, F.col("score")).alias("score"), path.alias("node_path"))
         found = scratch.keep(found.unionByName(fresh))
     return found
 
@@ -283,26 +366,33 @@ def gap_runs(laid: DataFrame, k: int) -> DataFrame:
 
 def numbered(lengths_: DataFrame, least: int) -> DataFrame:
     """Transcripts of at least `least` bases with their place j of n in the locus, the latest first."""
-    place = Window.partitionBy("locus_id").orderBy(F.desc("transcript_id"))
-    rows = lengths_.where(F.col("length") >= least)
-    total = rows.groupBy("locus_id").agg(F.count("*").alias("n"))
-    return rows.withColumn("j", F.row_number().over(place).cast("long")).join(total, "locus_id")
+    placed = numbered_within(lengths_.where(F.col("length") >= least), "locus_id", "j", F.desc("transcript_id"))
+    # the last place of a locus is how many there are
+    total = placed.groupBy("locus_id").agg(F.max("j").alias("n"))
+    return salted(placed, total, "locus_id")
 
 
 def contained_paths(paths: DataFrame) -> DataFrame:
     """(transcript_id): paths that lie whole within another one, in either direction; of equal ones the later goes.
 
-    Every stretch of a path is looked up among the whole paths by an equi-join on its contigs, so no two paths
-    that merely meet are compared; distinct paths are looked up, however many transcripts have the same one.
+    Where a path goes through a contig that some path begins with, on that strand, its stretches of the lengths of such
+    paths are looked up among the whole paths, so no two paths that merely meet are compared. Distinct paths are looked
+    up, however many transcripts have the same one.
     """
     text = lambda p: F.array_join(p, ",")
-    key = lambda p: F.least(text(p), text(F.reverse(F.transform(p, lambda n: -n))))
+    back = lambda p: F.reverse(F.transform(p, lambda n: -n))
+    key = lambda p: F.least(text(p), text(back(p)))
+    scratch = Scratch(paths.sparkSession)
     rows = paths.select("transcript_id", "node_path", key(F.col("node_path")).alias("key"))
-    firsts = rows.groupBy("key").agg(F.min("transcript_id").alias("kept"), F.min("node_path").alias("path"))
+    firsts = scratch.keep(rows.groupBy("key").agg(F.min("transcript_id").alias("kept"), F.min("node_path").alias("path")))
     later = rows.join(firsts.select("key", "kept"), "key").where("transcript_id > kept").select("transcript_id")
-    sized = firsts.select("path", F.size("path").alias("n")).where("n > 1").select("path", "n", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("m"))
-    inner = sized.select("path", "m", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("m") + 1)).alias("at"))
-    stretches = inner.select(key(F.slice("path", F.col("at"), F.col("m"))).alias("key")).distinct()
+    ends = F.array(F.element_at("path", 1), -F.element_at("path", -1))
+    heads = firsts.select(F.explode(ends).alias("node_id"), F.size("path").alias("m")).distinct()
+    steps = firsts.where("size(path) > 1").select("kept", F.size("path").alias("n"), F.posexplode("path").alias("at", "node_id"))
+    meets = salted(steps, heads, "node_id").where("m < n and at + m <= n")
+    spots = meets.groupBy("kept").agg(F.collect_list(F.struct("at", "m")).alias("spots"))
+    found = firsts.select("kept", "path").join(spots, "kept").select("path", F.explode("spots").alias("spot"))
+    stretches = found.select(key(F.slice("path", F.col("spot.at") + 1, F.col("spot.m"))).alias("key")).distinct()
     inside = rows.join(stretches, "key", "left_semi").select("transcript_id")
     return later.unionByName(inside).distinct()
 

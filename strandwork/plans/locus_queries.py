@@ -86,11 +86,26 @@ def simple_transcripts(spark, folder):
 
 
 def dp_heaviest_path(spark, folder):
-    members, edges = _edges(Inputs(spark, folder))
-    found = transcripts.heaviest_paths(transcripts.in_path_order(members, edges), edges)
+    i = Inputs(spark, folder)
+    members, edges = _edges(i)
+    found = transcripts.path_cover(members.join(edges.select("locus_id"), "locus_id", "left_semi"), edges, i.nodes, 1)
     return found.select("locus_id", F.round("score", 4).alias("score"), "node_path")
 
 
+def dp_transcripts(spark, folder):
+    """Heaviest paths of each locus until every contig with coverage is on one, 10 at most."""
+    i = Inputs(spark, folder)
+    found = transcripts.path_cover(*_edges(i), i.nodes, 10)
+    return found.select("locus_id", "turn", F.round("score", 4).alias("score"), "node_path")
+
+
+def transcript_gaps(spark, folder):
+    """The k-mers between the contigs of each given transcript, by the distances of its locus's connections."""
+    i = Inputs(spark, folder)
+    _, edges = _edges(i)
+    return transcripts.with_gaps(i.scratch.keep(i.paths.drop("gaps")), edges, i.nodes).select("locus_id", "transcript_id", "gaps")
+
+
 def unexplained_contigs(spark, folder):
     i = Inputs(spark, folder)
     return transcripts.unexplained_contigs(i.members, i.paths)
@@ -176,7 +191,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         loci_components, locus_sizes, loci_extended, extended_sizes, stop_codon_counts, locus_orientation, reverted_loci, locus_edges,
-        locus_degree_histogram, locus_shape, nearest_incoming, locus_sinks, simple_transcripts, dp_heaviest_path, unexplained_contigs,
+        locus_degree_histogram, locus_shape, nearest_incoming, locus_sinks, simple_transcripts, dp_heaviest_path, dp_transcripts, transcript_gaps, unexplained_contigs,
         heaviest_unused_node, contig_ordering, gap_runs, transcript_lengths, numbered_transcripts, transcript_sequences, contained_paths,
         orphan_paths, merge_loci, merge_transcripts, used_reads, unused_reads, reference_mapping,
     )
@@ -205,6 +220,36 @@ _HIST = """ends as (select locus_id, src as node_id, 1 as o, 0 as i from edges u
 _LINKS = """path_steps as (select transcript_id, unnest(node_path) as node_id, unnest(range(len(node_path))) as ord from p),
     on_u as (select transcript_id, ord, abs(node_id) as c from path_steps where abs(node_id) in (select node_id from u)),
     links as (select distinct c as a, nxt as b from (select c, lead(c) over (partition by transcript_id order by ord) as nxt from on_u) where nxt is not null and nxt <> c)"""
+# every way from a contig without an edge into it; the loci of the tables have no cycles
+_WAYS = """weighed as (select locus_id, src, dst, max(coalesce(weight, 0)) as weight from edges where src <> dst group by 1, 2, 3),
+    way as (select distinct locus_id, src as node_id, 0.0::double as score, [src] as path from weighed e
+        where not exists (select 1 from weighed f where f.locus_id = e.locus_id and f.dst = e.src)
+      union all select k.locus_id, e.dst, score + weight, list_append(path, e.dst) from way k join weighed e on e.locus_id = k.locus_id and e.src = k.node_id),
+    top as (select locus_id, score, path from (select *, row_number() over (partition by locus_id order by score desc, list_reverse(path)) as r from way) where r = 1)"""
+
+
+def _cover(most: int) -> str:
+    """One group of tables a turn: the contig to go through, the ways through it, and what has been found."""
+    parts = [
+        """sums as (select locus_id, sum(coalesce(weight, 0)) + 1 as total from edges group by 1),
+        open_ as (select locus_id, m.node_id, cov from m join n on n.node_id = abs(m.node_id) where cov > 0),
+        found0 as (select locus_id, 0 as turn, score, path from top union all
+          select locus_id, 0, null, [arg_max(node_id, (cov, -node_id))] from open_ where locus_id not in (select locus_id from edges) group by 1)"""
+    ]
+    for t in range(1, most):
+        parts.append(f"""on{t} as (select distinct locus_id, abs(unnest(path)) as c from found{t - 1}),
+        next{t} as (select locus_id, arg_max(node_id, (cov, -node_id)) as forced from open_ o
+          where not exists (select 1 from on{t} x where x.locus_id = o.locus_id and x.c = abs(o.node_id)) group by 1),
+        best{t} as (select locus_id, score, path from (
+          select *, row_number() over (partition by locus_id order by score desc, list_reverse(path)) as r from (
+            select locus_id, path, score + total * coalesce((list_position(path, forced) > 1)::int + (list_position(path, forced) < len(path))::int, 0) as score
+            from way join next{t} using (locus_id) join sums using (locus_id))) where r = 1),
+        found{t} as (select * from found{t - 1} union all
+          select locus_id, {t}, case when list_contains(path, forced) then score end, case when list_contains(path, forced) then path else [forced] end
+          from next{t} left join best{t} using (locus_id))""")
+    return ",\n".join(parts)
+
+
 _USED = "used as (select distinct read_id from occ where abs(node_id) in (select abs(node_id) from laid where transcript_id in (select transcript_id from laid group by 1 having max(finish) >= 100)))"
 
 SQL = {
@@ -228,8 +273,16 @@ SQL = {
         select locus_id, dst as node_id, max(src) filter (r = 1) as first, max(src) filter (r = 2) as second from r group by 1, 2""",
     "locus_sinks": f"""{with_('m', 'pairs', 'both', 'edges')} select locus_id, node_id, cast(row_number() over (partition by locus_id order by ord, node_id) as int) as number
         from m where not exists (select 1 from edges e where e.locus_id = m.locus_id and e.src = m.node_id)""",
+    "dp_heaviest_path": f"{with_('m', 'pairs', 'both', 'edges', recursive=True)}, {_WAYS} select locus_id, round(score, 4) as score, path as node_path from top",
+    "dp_transcripts": f"""{with_('n', 'm', 'pairs', 'both', 'edges', recursive=True)}, {_WAYS}, {_cover(10)}
+        select locus_id, turn, round(score, 4) as score, path as node_path from found9""",
+    "transcript_gaps": f"""{with_('n', 'm', 'p', 'pairs', 'both', 'edges')}, s as (select locus_id, transcript_id, unnest(node_path) as src, unnest(list_append(node_path[2:], null)) as dst, unnest(range(len(node_path))) as ord from p),
+        far as (select locus_id, src, dst, min(distance) as distance from edges group by 1, 2, 3),
+        g as (select s.*, greatest(0, coalesce(cast(floor(round(distance, 6)) as bigint) - a.len // 2 - b.len // 2 - greatest(a.len % 2, b.len % 2), 0)) as gap
+          from s left join far using (locus_id, src, dst) left join n a on a.node_id = abs(s.src) left join n b on b.node_id = abs(s.dst))
+        select locus_id, transcript_id, list(gap order by ord) as gaps from g group by 1, 2""",
     "unexplained_contigs": f"""{with_('m', 'p')}, on_ as (select distinct locus_id, abs(unnest(node_path)) as c from p)
-        select locus_id, node_id from m where is_long and not exists (select 1 from on_ where on_.locus_id = m.locus_id and c = abs(m.node_id))""",
+        select locus_id, node_id from m where not exists (select 1 from on_ where on_.locus_id = m.locus_id and c = abs(m.node_id))""",
     "heaviest_unused_node": f"""{with_('n', 'm', 'p')}, on_ as (select distinct locus_id, abs(unnest(node_path)) as c from p),
         left_ as (select m.locus_id, m.node_id, n.cov from m join n on n.node_id = abs(m.node_id) where n.cov > 0
           and not exists (select 1 from on_ where on_.locus_id = m.locus_id and c = abs(m.node_id)))

@@ -177,10 +177,10 @@ def assemble(reads: DataFrame, libraries: DataFrame, options: AssemblyOptions =
     hard_members, hard_edges = (scratch.keep(df.join(hard, "locus_id", "left_semi")) for df in (members, edges))
     heavy = transcripts.path_cover(hard_members, hard_edges, nodes, options.max_transcripts)
     found = scratch.keep(simple.select("locus_id", "node_path").unionByName(heavy.select("locus_id", "node_path")).distinct())
-    alone = transcripts.unexplained_contigs(members, found).select("locus_id", F.array("node_id").alias("node_path"))
-    rows = number(scratch.keep(found.unionByName(alone).withColumn("at", F.concat_ws(",", F.lpad(F.col("locus_id").cast("string"), 20, "0"), F.col("node_path").cast("array<string>")))), "at")
+    alone = transcripts.unexplained_contigs(members, found).select("locus_id", F.array("node_id").alias("node_path"), F.lit(True).alias("alone"))
+    rows = number(scratch.keep(found.withColumn("alone", F.lit(False)).unionByName(alone).withColumn("at", F.concat_ws(",", F.lpad(F.col("locus_id").cast("string"), 20, "0"), F.col("node_path").cast("array<string>")))), "at")
     size = members.groupBy("locus_id").agg(F.count("*").alias("contigs"))
-    rows = rows.join(size, "locus_id").select("locus_id", F.col("node_id").alias("transcript_id"), "node_path", (F.size("node_path") / F.col("contigs")).alias("confidence"))
+    rows = rows.join(size, "locus_id").select("locus_id", F.col("node_id").alias("transcript_id"), "node_path", F.when("alone", 1.0).otherwise(F.size("node_path") / F.col("contigs")).alias("confidence"))
     rows = scratch.keep(transcripts.with_gaps(scratch.keep(rows), edges, nodes))
     sequences = scratch.keep(transcripts.sequences(transcripts.layout(rows, nodes, k), nodes, k, gaps_in_kmers=True))
     return Assembly(nodes, occ, arcs, pairs, members, rows, sequences)

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The lists of roots that `tidy` is to delete, innermost last.
@@ -109,6 +109,19 @@ def salted(left: DataFrame, right: DataFrame, key: str, how: str = "inner", heav
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
+def numbered_within(df: DataFrame, group: str, name: str, *order: Column | str) -> DataFrame:
+    """`df` with the place of each row in its `group` by `order`, from 1, in the column `name`, though a group may be most of `df`.
+
+    Rows are put in ranges of (group, order); a row's place is that in its range and the sizes of the group's ranges before.
+    """
+    ranged = Scratch(df.sparkSession).keep(df.repartitionByRange(group, *order).withColumn("__part", F.spark_partition_id()))
+    sizes = ranged.groupBy(group, "__part").agg(F.count("*").alias("__n"))
+    before = sizes.select(group, "__part", (F.sum("__n").over(Window.partitionBy(group).orderBy("__part")) - F.col("__n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(group, "__part").orderBy(*order))
+    rows = ranged.withColumn("__at", inside).join(before, [group, "__part"])
+    return rows.select(*df.columns, (F.col("__at") + F.col("__before")).cast("long").alias(name))
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", heavy: list | None = None) -> DataFrame:
     """`salted` for a `right` whose `key` is unique: fewer than 1,000 of its rows are repeated, however large `left` is."""
     return salted(left, right, key, how, heavy)

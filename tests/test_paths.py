@@ -44,9 +44,24 @@ def test_paths_until_every_contig_is_on_one(spark):
     ways = {(1, 2): 9, (2, 9): 9, (1, 3): 5, (3, 9): 5, (1, 4): 2, (4, 5): 2, (5, 9): 2}
     members, edges = tables(spark, {1: ways, 2: {}}, {1: [9, 3, 1, 2, 4, 5, 7], 2: [11, 12]})
     nodes = spark.createDataFrame([(n, c) for n, c in zip((1, 2, 3, 4, 5, 7, 9, 11, 12), (90, 50, 30, 10, 20, 5, 90, 2, 1))], "node_id long, cov long")
-    cover = lambda most: {tuple(r.node_path) for r in transcripts.path_cover(members, edges, nodes, most).collect()}
-    assert cover(10) == {(1, 2, 9), (1, 3, 9), (1, 4, 5, 9), (7,), (11,), (12,)}
-    assert cover(2) == {(1, 2, 9), (1, 3, 9), (11,), (12,)}
+    for small in (1000, 0):
+        cover = lambda most: {tuple(r.node_path) for r in transcripts.path_cover(members, edges, nodes, most, small).collect()}  # noqa: B023, E731
+        assert cover(10) == {(1, 2, 9), (1, 3, 9), (1, 4, 5, 9), (7,), (11,), (12,)}
+        assert cover(2) == {(1, 2, 9), (1, 3, 9), (11,), (12,)}
+
+
+def test_a_cover_does_not_depend_on_the_size_of_the_locus(spark):
+    draw = random.Random(8)
+    loci, order = {5: {}}, {5: [501, 502]}
+    for i in range(1, 5):
+        ids = [draw.choice((-1, 1)) * n for n in draw.sample(range(100 * i, 100 * i + 99), 10)]
+        loci[i] = {(ids[a], ids[b]): draw.randrange(0, 6) for a, b in (sorted(draw.sample(range(10), 2)) for _ in range(14))}
+        order[i] = ids
+    loci[4][(order[4][9], order[4][0])] = 3  # perhaps a cycle
+    members, edges = tables(spark, loci, order)
+    nodes = spark.createDataFrame([(abs(n), draw.randrange(0, 20)) for o in order.values() for n in o], "node_id long, cov long")
+    one, other = ({(r.locus_id, r.turn, r.score, *r.node_path) for r in transcripts.path_cover(members, edges, nodes, 2, small).collect()} for small in (1000, 0))
+    assert one == other and {r[0] for r in one} == {1, 2, 3, 4, 5}
 
 
 def test_gaps_of_a_path_and_what_they_spell(spark):
