@@ -139,10 +139,15 @@ def find_leaks(
     return out
 
 
+def folded_rows(batch: pd.DataFrame) -> Iterator[tuple]:
+    """(doc, words, begins, ends) of each document."""
+    for doc, body in zip(batch["doc"], batch["body"]):
+        yield doc, *(tuple(zip(*folded_words(body))) or ((), (), ()))
+
+
 def fold_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(doc, *([list(x) for x in zip(*folded_words(body))] or [[], [], []])) for doc, body in zip(batch["doc"], batch["body"])]
-        yield pd.DataFrame(rows, columns=["doc", "words", "begins", "ends"])
+        yield pd.DataFrame([(doc, *map(list, found)) for doc, *found in folded_rows(batch)], columns=["doc", "words", "begins", "ends"])
 
 
 def scanner(items, names: list[str], min_words: int, seed_words: int, fold: bool):
@@ -150,8 +155,8 @@ def scanner(items, names: list[str], min_words: int, seed_words: int, fold: bool
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = ItemIndex(items.value, seed_words)
-        for batch in fold_all(batches) if fold else batches:
-            texts = zip(batch["doc"], batch["words"], batch["begins"], batch["ends"])
+        for batch in batches:
+            texts = folded_rows(batch) if fold else zip(batch["doc"], batch["words"], batch["begins"], batch["ends"])
             rows = [(doc, *match) for doc, words, begins, ends in texts for match in index.matches(words, begins, ends, min_words)]
             yield pd.DataFrame(rows, columns=names)
 
