@@ -25,8 +25,9 @@ def density(x: Column) -> Column:
     return DENSITY * F.exp(-x * x / 2)
 
 
-def mass(x: Column, y: Column) -> Column:
-    return (erf(SCALE * y) - erf(SCALE * x)) / 2
+def overhang(x: Column) -> Column:
+    """The integral of the normal distribution's mass from the middle to `x`, up to a constant."""
+    return density(x) + x * erf(SCALE * x) / 2
 
 
 def pair_score(insert: Column, distance: Column, variance: Column) -> Column:
@@ -36,15 +37,17 @@ def pair_score(insert: Column, distance: Column, variance: Column) -> Column:
 def expected_pairs(distance: Column, len_a: Column, len_b: Column, count_a: Column, count_b: Column, mean: Column, sd: Column) -> Column:
     """How many read pairs of a library should join two contigs at that distance (whole pairs, 0 at least).
 
+    A pair joins them if one read lies on the one and its mate, a normal insert length away, on the other. Over all places
+    of the first read that is a double integral of the density, whose corners are the insert lengths from nearest to
+    nearest, nearest to farthest (of either contig) and farthest to farthest end.
+
     `count_a` and `count_b` are the paired reads of the library on the two contigs. 0 without an insert length or if
     a contig has no length.
     """
     long_, short = F.greatest(len_a, len_b), F.least(len_a, len_b)
     thinner = F.least(count_a / len_a, count_b / len_b)
     gap = F.floor(distance) - F.floor((long_ + short) / 2)
-    m, n, o, p = ((gap + more - mean) / sd for more in (F.lit(0), short, long_, short + long_))
-    left = ((density(m) - density(n)) - m * mass(m, n)) * sd
-    right = ((density(o) - density(p)) - p * mass(o, p)) * -sd
-    all_ = thinner * (left + short * mass(n, o) + right)
+    near, with_short, with_long, far = (overhang((gap + more - mean) / sd) for more in (F.lit(0), short, long_, short + long_))
+    all_ = thinner * sd * (near - with_short - with_long + far)
     known = (mean > 0) & (len_a > 0) & (len_b > 0)
     return F.when(known & (all_ > 0), F.floor(all_)).otherwise(0).cast("long")

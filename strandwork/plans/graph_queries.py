@@ -260,12 +260,8 @@ def _erf(x: str) -> str:
     return "(" + _ERF.format(x=f"({x})", t=f"(1 / (1 + 0.3275911 * abs({x})))") + ")"
 
 
-def _mass(x: str, y: str) -> str:
-    return f"(({_erf(f'0.7 * {y}')} - {_erf(f'0.7 * {x}')}) / 2)"
-
-
-def _density(x: str) -> str:
-    return f"(0.4 * exp(-{x} * {x} / 2))"
+def _overhang(x: str) -> str:
+    return f"(0.4 * exp(-{x} * {x} / 2) + {x} * {_erf(f'0.7 * {x}')} / 2)"
 
 
 _DENSITY_CTE = """on_ as (select distinct read_id, abs(node_id) as node_id from occ),
@@ -273,13 +269,12 @@ _DENSITY_CTE = """on_ as (select distinct read_id, abs(node_id) as node_id from
       join lib on lib.category = r.category group by 1, 2)"""
 _EXPECTED_CTE = f"""{_DENSITY_CTE},
     sized as (select c.*, a.len as len_src, b.len as len_dst from pairs c join n a on a.node_id = abs(c.src) join n b on b.node_id = abs(c.dst)),
-    terms as (select s.src, s.dst, least(x.reads / s.len_src, y.reads / s.len_dst) as thin, lib.sd, greatest(s.len_src, s.len_dst) as l, least(s.len_src, s.len_dst) as q,
-        (g - mean) / sd as m, (g + q - mean) / sd as n, (g + l - mean) / sd as o, (g + q + l - mean) / sd as p
+    terms as (select s.src, s.dst, least(x.reads / s.len_src, y.reads / s.len_dst) as thin, lib.sd, (g - mean) / sd as near, (g + len_src - mean) / sd as one,
+        (g + len_dst - mean) / sd as other, (g + len_src + len_dst - mean) / sd as far
       from (select *, floor(distance) - (len_src + len_dst) // 2 as g from sized) s
       join dens x on x.node_id = abs(s.src) join dens y on y.node_id = abs(s.dst) and y.category = x.category
       join lib on lib.category = x.category where s.len_src > 0 and s.len_dst > 0),
-    parts as (select src, dst, thin * ((({_density('m')} - {_density('n')}) - m * {_mass('m', 'n')}) * sd + q * {_mass('n', 'o')}
-        + (({_density('o')} - {_density('p')}) - p * {_mass('o', 'p')}) * -sd) as e from terms),
+    parts as (select src, dst, thin * sd * ({_overhang('near')} - least({_overhang('one')}, {_overhang('other')}) - greatest({_overhang('one')}, {_overhang('other')}) + {_overhang('far')}) as e from terms),
     summed as (select src, dst, cast(sum(case when e > 0 then floor(e) else 0 end) as bigint) as e from parts group by 1, 2),
     expect as (select s.*, coalesce(e, 0) as expected from sized s left join summed u on u.src = s.src and u.dst = s.dst)"""
 
