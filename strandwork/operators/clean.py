@@ -17,6 +17,14 @@ def reads(df: DataFrame) -> DataFrame:
     return rows.groupBy("read_id").agg(*(F.min(c).alias(c) for c in ("mate_id", "category", "seq")))
 
 
+def detached(reads: DataFrame, k: int) -> DataFrame:
+    """(read_id, category): the reads of pairs one of which is shorter than `k`, with the even category that they get instead."""
+    paired = reads.where("category % 2 = 1 and mate_id is not null")
+    short = paired.where(F.coalesce(F.length("seq"), F.lit(0)) < k)
+    hit = short.select("read_id").unionByName(short.select(F.col("mate_id").alias("read_id"))).distinct()
+    return paired.join(hit, "read_id", "left_semi").select("read_id", (F.col("category") - 1).cast("short").alias("category"))
+
+
 def nodes(df: DataFrame) -> DataFrame:
     """(node_id, seq, len, cov, is_unique) by positive id; null coverage counts as 0, null uniqueness as false."""
     rows = df.where("node_id is not null and node_id <> 0")

@@ -66,14 +66,14 @@ def joined_arcs(arcs: DataFrame, members: DataFrame, links: DataFrame) -> DataFr
     return rows.select(*ends, "multiplicity").groupBy("src", "dst").agg(F.sum("multiplicity").alias("multiplicity"))
 
 
-def joined_occurrences(occ: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(read_id, node_id, pos, off): the first place of each read on each contig that chains become."""
+def joined_occurrences(occ: DataFrame, members: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(read_id, node_id, pos, off): the places of reads on the contigs that chains become, one for each time a read comes there."""
     size = members.join(nodes.select(F.col("node_id").alias("contig"), "len"), "contig").drop("step")
     rows = lookup(occ.withColumn("contig", F.abs("node_id")), size, "contig")
     strand = F.signum("node_id").cast("long") * F.col("side")
     start = F.when(strand > 0, F.col("before")).otherwise(F.col("total") - F.col("before") - F.col("len"))
     placed = rows.select("read_id", F.coalesce(strand * F.col("stays"), "node_id").alias("node_id"), (F.coalesce(start, F.lit(0)) + F.col("pos")).alias("pos"), "off")
-    return placed.groupBy("read_id", "node_id").agg(F.min(F.struct("off", "pos")).alias("first")).select("read_id", "node_id", "first.pos", "first.off")
+    return graph.one_place_a_run(placed, k)
 
 
 def join_chains(nodes: DataFrame, arcs: DataFrame, occ: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
@@ -88,5 +88,5 @@ def join_chains(nodes: DataFrame, arcs: DataFrame, occ: DataFrame, k: int) -> tu
     if links.isEmpty():
         return nodes, arcs, occ, 0
     members = chain_members(nodes, links)
-    out = joined_nodes(nodes, members, k), joined_arcs(arcs, members, links), joined_occurrences(occ, members, nodes)
+    out = joined_nodes(nodes, members, k), joined_arcs(arcs, members, links), joined_occurrences(occ, members, nodes, k)
     return *(scratch.keep(t) for t in out), members.where("contig <> stays").count()

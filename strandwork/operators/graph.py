@@ -21,6 +21,19 @@ def arcs_of_reads(occ: DataFrame, nodes: DataFrame, heavy: list | None = None) -
     return steps.unionByName(twins).groupBy("src", "dst").agg(F.count("*").alias("multiplicity"))
 
 
+def one_place_a_run(places: DataFrame, slack: int) -> DataFrame:
+    """(read_id, node_id, pos, off): of the places of a read on a contig, the first of each run.
+
+    A run goes along the contig as the read does, but for `slack`; a read that comes back to a contig has a run each time.
+    """
+    along = Window.partitionBy("read_id", "node_id").orderBy("off", "pos")
+    ahead = F.col("pos") - F.col("off")
+    new = F.coalesce((F.abs(ahead - F.lag(ahead).over(along)) > slack).cast("int"), F.lit(1))
+    runs = places.withColumn("__new", new).withColumn("__run", F.sum("__new").over(along))
+    first = F.min(F.struct("off", "pos")).alias("first")
+    return runs.groupBy("read_id", "node_id", "__run").agg(first).select("read_id", "node_id", "first.pos", "first.off")
+
+
 def degrees(arcs: DataFrame) -> DataFrame:
     """(node_id, outdeg, indeg) by signed id."""
     ends = arcs.select(F.col("src").alias("node_id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandwork.functions.dna import REVERSE_STOPS, STOPS, codon_count
 from strandwork.operators.clean import both_ways
+from strandwork.operators.similarity import merge_map, moved_ends, simple_bubbles
 from strandwork.shared import Scratch, heavy_keys, lookup
 
 
@@ -109,6 +110,27 @@ def reverted(members: DataFrame, inverted: DataFrame) -> DataFrame:
     return turned.withColumn("node_id", F.when(F.col("inverted"), -F.col("node_id")).otherwise(F.col("node_id"))).drop("inverted")
 
 
+def simplified(members: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, max_branch: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs) without the contigs that are similar to another one between the same two neighbours.
+
+    Their connections go to the contig that stays, with counts and weights added up. Again and again, since branches
+    become neighbours; each round but the last takes contigs away. `members` is (locus_id, node_id, ord, is_long); a
+    contig that stays is in every locus of one that went to it.
+    """
+    scratch = Scratch(members.sparkSession)
+    while True:
+        moved = merge_map(simple_bubbles(pairs, nodes, k, max_branch), nodes)
+        if moved.isEmpty():
+            return members, pairs
+        ends = moved_ends(moved_ends(pairs, moved, "src"), moved, "dst").where("abs(src) <> abs(dst)")
+        both = ends.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+        sums = (F.sum(c).alias(c) for c in ("direct_count", "paired_count", "weight"))
+        nearest = (F.min_by(c, F.struct("variance", "distance")).alias(c) for c in ("distance", "variance"))
+        pairs = scratch.keep(both.agg(*nearest, *sums, F.bool_or("active").alias("active")))
+        left = moved_ends(members, moved, "node_id").groupBy("locus_id", F.abs("node_id").alias("contig"))
+        members = scratch.keep(left.agg(F.min_by("node_id", F.struct("ord", "node_id")).alias("node_id"), F.min("ord").alias("ord"), F.bool_or("is_long").alias("is_long")).drop("contig"))
+
+
 def locus_edges(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(locus_id, src, dst, distance, weight): active connections between two oriented contigs of one locus; dst follows src."""
     steps = both_ways(pairs.where("active")).select("src", (-F.col("dst")).alias("dst"), "distance", "weight")

@@ -122,6 +122,14 @@ def local_connections(pairs: DataFrame, arcs: DataFrame, nodes: DataFrame) -> Da
     return fresh.select("src", "dst", "multiplicity", F.expr("len_src div 2 + len_dst div 2").alias("distance"), (1 / F.col("multiplicity")).alias("variance"))
 
 
+def with_local(weighed: DataFrame, local: DataFrame, cap: float = 1000.0) -> DataFrame:
+    """`weighed` and the connections of `local_connections`, which count and weigh as many direct reads as their arcs have."""
+    rows = local.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "multiplicity", F.col("distance").cast("double").alias("distance"), "variance")
+    one = rows.groupBy("src", "dst").agg(*(F.max(c).alias(c) for c in ("multiplicity", "distance", "variance")))
+    counts = (F.col("multiplicity").alias("direct_count"), F.lit(0).cast("long").alias("paired_count"), F.least(F.lit(cap), F.col("multiplicity").cast("double")).alias("weight"))
+    return weighed.unionByName(one.select("src", "dst", "distance", "variance", *counts))
+
+
 def paired_density(occ: DataFrame, reads: DataFrame, libraries: DataFrame) -> DataFrame:
     """(category, node_id, reads): paired reads of libraries with an insert length on each contig."""
     mates = reads.where("mate_id is not null").select("read_id", "category").join(F.broadcast(libraries.select("category")), "category")

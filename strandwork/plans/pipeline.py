@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from strandwork.config import AssemblyOptions
 from strandwork.functions.dna import canonical, kmers
-from strandwork.operators import compact, graph, kmers as km, loci, scaffold, similarity, transcripts
-from strandwork.shared import Scratch
+from strandwork.operators import clean, compact, graph, kmers as km, loci, scaffold, similarity, transcripts
+from strandwork.shared import Scratch, lookup
 
 
 @dataclass
@@ -59,8 +59,7 @@ def contigs(reads: DataFrame, options: AssemblyOptions) -> tuple[DataFrame, Data
     other = F.reverse(F.translate("seq", "ACGT", "TGCA"))
     unique = spelled.where(F.col("seq") <= other)
     begin = scratch.keep(unique.select("chain", "seq", "len", "cov"))
-    numbered = begin.select("seq").distinct().orderBy("seq")
-    ids = number(numbered, "seq")
+    ids = number(begin.select("seq").distinct(), "seq")
     nodes = scratch.keep(begin.join(ids, "seq").groupBy("node_id", "seq").agg(F.max("len").cast("int").alias("len"), F.max("cov").alias("cov"), F.min("chain").alias("chain")))
     on = steps.join(nodes.select("chain", "node_id"), "chain").withColumn("kmer", canonical(F.col("node")))
     places = on.select("kmer", F.when(F.col("node") == F.col("kmer"), F.col("node_id")).otherwise(-F.col("node_id")).alias("node_id"), F.col("step").alias("pos"))
@@ -78,15 +77,20 @@ def number(df: DataFrame, order: str) -> DataFrame:
 
 
 def place_reads(reads: DataFrame, nodes: DataFrame, places: DataFrame, k: int) -> DataFrame:
-    """(read_id, node_id, pos, off): the first place of each read on each contig, in the read's direction."""
+    """(read_id, node_id, pos, off): the first place of each read on each contig, in the read's direction.
+
+    A read that comes back to a contig has a place each time. k-mers of very many reads are spread over tasks.
+    """
     runs = reads.where("seq is not null").select("read_id", F.posexplode(kmers(F.col("seq"), k)).alias("off", "run"))
-    rows = runs.withColumn("kmer", canonical(F.col("run"))).join(places, "kmer").join(nodes.select(F.col("node_id").alias("contig"), "len"), F.abs("node_id") == F.col("contig"))
+    sized = places.join(nodes.select(F.col("node_id").alias("contig"), "len"), F.abs("node_id") == F.col("contig")).drop("contig")
+    rows = lookup(runs.withColumn("kmer", canonical(F.col("run"))), sized, "kmer", "inner")
     same = F.col("run") == F.col("kmer")
     signed = F.when(same, F.col("node_id")).otherwise(-F.col("node_id"))
     pos = F.when(signed > 0, F.col("pos")).otherwise(F.col("len") - 1 - F.col("pos"))
     rows = rows.select("read_id", signed.alias("node_id"), pos.cast("long").alias("pos"), F.col("off").cast("long").alias("off"))
     first = F.min(F.struct("off", "pos")).alias("first")
-    return rows.groupBy("read_id", "node_id").agg(first).select("read_id", "node_id", "first.pos", "first.off")
+    # what goes on along the contig keeps this difference
+    return rows.groupBy("read_id", "node_id", (F.col("pos") - F.col("off")).alias("ahead")).agg(first).select("read_id", "node_id", "first.pos", "first.off")
 
 
 def corrected(nodes: DataFrame, arcs: DataFrame, occ: DataFrame, options: AssemblyOptions) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -133,7 +137,7 @@ def covered(reads: DataFrame, options: AssemblyOptions) -> tuple[DataFrame, Data
     raw_occ = scratch.keep(place_reads(reads, raw, places, options.k))
     low = scratch.keep(graph.low_coverage_nodes(raw, options.coverage_cutoff))
     dubious = scratch.keep(graph.dubious_reads(raw_occ, low))
-    nodes, arcs, occ = without(low, raw, graph.arcs_of_reads(raw_occ, raw), raw_occ)
+    nodes, arcs, occ = without(low, raw, graph.arcs_of_reads(raw_occ, raw).where("src <> dst"), raw_occ)
     weak = scratch.keep(graph.low_fraction_arcs(arcs, options.edge_fraction_cutoff).select("src", "dst"))
     twins = weak.unionByName(weak.select((-F.col("dst")).alias("src"), (-F.col("src")).alias("dst"))).distinct()
     strong = scratch.keep(arcs.join(twins, ["src", "dst"], "left_anti"))
@@ -145,11 +149,21 @@ def assemble(reads: DataFrame, libraries: DataFrame, options: AssemblyOptions =
     """Contigs, connections, loci and transcripts of `reads` (read_id, mate_id, category, seq).
 
     Contigs of low mean coverage and weak arcs are dropped, similar branches merged, tips clipped and unbranched contigs
-    joined before reads are connected; reads on a contig of low coverage connect nothing. Loci of a simple shape give their one or two transcripts; all others give
-    heaviest paths until every contig is on one, up to `max_transcripts`, and long contigs that no path explains stand alone.
+    joined before reads are connected; reads on a contig of low coverage connect nothing, and pairs with a read shorter
+    than k count as single reads. Contigs near the same unique one are connected by their arcs. Loci are turned to the
+    strand that reads better, unless reads are strand-specific, and similar branches within them merged. Those of a simple
+    shape give their one or two transcripts; all others give heaviest paths until every contig is on one, up to
+    `max_transcripts`, and contigs that no path explains stand alone.
     """
     scratch = Scratch(reads.sparkSession)
     k = options.k
+    single = clean.detached(reads, k).select("read_id", F.col("category").alias("new"))
+    reads = scratch.keep(
+        reads.join(single, "read_id", "left")
+        .withColumn("mate_id", F.when(F.col("new").isNull(), F.col("mate_id")))
+        .withColumn("category", F.coalesce("new", "category"))
+        .drop("new")
+    )
     nodes, arcs, occ, dubious = covered(reads, options)
     unique = graph.unique_nodes(nodes, arcs, options.unique_length, options.degree_cutoff).select("node_id", F.lit(True).alias("u"))
     nodes = scratch.keep(nodes.join(unique, "node_id", "left").withColumn("is_unique", F.coalesce("u", F.lit(False))).drop("u"))
@@ -158,6 +172,7 @@ def assemble(reads: DataFrame, libraries: DataFrame, options: AssemblyOptions =
     direct, paired = scaffold.direct_connections(placed), scaffold.paired_connections(placed, reads, libraries)
     merged = scratch.keep(scaffold.merge_connections(direct, paired))
     weighed = scratch.keep(scaffold.connection_weights(merged, direct, paired, options.weight_cap))
+    weighed = scratch.keep(scaffold.with_local(weighed, scaffold.local_connections(weighed, arcs, nodes), options.weight_cap))
     density = scratch.keep(scaffold.paired_density(occ, reads, libraries))
     tested = scaffold.reliable(scaffold.expected_connections(weighed, nodes, density, libraries), options.min_pair_count, options.paired_cutoff, options.unique_length)
     pairs = scratch.keep(tested.drop("len_src", "len_dst", "expected").withColumn("active", F.lit(True)))
@@ -170,6 +185,9 @@ def assemble(reads: DataFrame, libraries: DataFrame, options: AssemblyOptions =
 
     groups = loci.extended(loci.components(nodes.where("is_unique"), pairs), pairs, nodes)
     members = scratch.keep(loci_on_one_strand(scratch, groups, pairs))
+    if options.double_stranded:
+        members = scratch.keep(loci.reverted(members, loci.orientations(members, nodes)))
+    members, pairs = loci.simplified(members, pairs, nodes, k, options.max_branch)
     edges = scratch.keep(loci.locus_edges(members, pairs))
     shaped = scratch.keep(loci.shapes(loci.degree_histogram(members, edges)))
     simple = transcripts.simple_transcripts(members, edges, shaped)
@@ -180,7 +198,7 @@ def assemble(reads: DataFrame, libraries: DataFrame, options: AssemblyOptions =
     alone = transcripts.unexplained_contigs(members, found).select("locus_id", F.array("node_id").alias("node_path"), F.lit(True).alias("alone"))
     rows = number(scratch.keep(found.withColumn("alone", F.lit(False)).unionByName(alone).withColumn("at", F.concat_ws(",", F.lpad(F.col("locus_id").cast("string"), 20, "0"), F.col("node_path").cast("array<string>")))), "at")
     size = members.groupBy("locus_id").agg(F.count("*").alias("contigs"))
-    rows = rows.join(size, "locus_id").select("locus_id", F.col("node_id").alias("transcript_id"), "node_path", F.when("alone", 1.0).otherwise(F.size("node_path") / F.col("contigs")).alias("confidence"))
+    rows = rows.join(size, "locus_id").select("locus_id", F.col("node_id").alias("transcript_id"), "node_path", F.when(F.col("alone"), 1.0).otherwise(F.size("node_path") / F.col("contigs")).alias("confidence"))
     rows = scratch.keep(transcripts.with_gaps(scratch.keep(rows), edges, nodes))
     sequences = scratch.keep(transcripts.sequences(transcripts.layout(rows, nodes, k), nodes, k, gaps_in_kmers=True))
     return Assembly(nodes, occ, arcs, pairs, members, rows, sequences)

@@ -54,10 +54,7 @@ def kmer_degrees(spark, folder):
 
 def detached_pairs(spark, folder):
     """Reads of pairs one of which is shorter than k: both lose their pairing (an even category)."""
-    reads = _reads(spark, folder).where("category % 2 = 1 and mate_id is not null")
-    short = reads.where(F.coalesce(F.length("seq"), F.lit(0)) < K)
-    hit = short.select("read_id").unionByName(short.select(F.col("mate_id").alias("read_id"))).distinct()
-    return reads.join(hit, "read_id", "left_semi").select("read_id", (F.col("category") - 1).cast("short").alias("category"))
+    return clean.detached(_reads(spark, folder), K)
 
 
 def mate_check(spark, folder):
