@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class AssemblyOptions:
-    """`insert_lengths` maps a library's odd category to (mean, sd or None); a missing sd is a tenth of the mean."""
+    """`categories` is the number of short-read libraries: categories above 2 * `categories` + 1 hold reference sequences."""
 
     k: int = 21
     coverage_cutoff: float = 3.0
@@ -24,6 +24,7 @@ class AssemblyOptions:
     max_branch: int = 100
     max_transcripts: int = 10
     double_stranded: bool = True
+    categories: int = 2
 
     def __post_init__(self) -> None:
         if self.k % 2 == 0:

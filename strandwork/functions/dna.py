@@ -65,6 +65,17 @@ def donor_near(end: Column) -> Column:
     return F.locate("GT", end) > 0
 
 
+def on_reference(same: Column, low: Column, high: Column, start: Column, finish: Column, positive: Column, k: int) -> tuple[Column, Column]:
+    """First and last place on a reference that lies at `start` to `finish`, for its k-mers from `low` to before `high`.
+
+    They run against the reference's places if only one of the two, the mapping (`same`) or the reference (`positive`), is
+    turned. The shifts are fixed values.
+    """
+    first = F.when(same & positive, start + low).when(same, finish - low + (k - 1)).when(positive, start + high + (k - 1)).otherwise(finish - high)
+    last = F.when(same & positive, start + high + (k - 2)).when(same, finish - high + 1).when(positive, start + low + 1).otherwise(finish - low + k)
+    return first, last
+
+
 def reference_coordinates(header: Column) -> dict[str, Column]:
     """name, start, finish and positive_strand of a header `name:start-finish`; without places 1, -1 and true."""
     pattern = r"^>?([^:]*):(\d+)-(\d+)"

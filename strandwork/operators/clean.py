@@ -5,7 +5,7 @@ All of these treat a repeated delivery as one row and leave out rows whose key i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.functions.dna import clean_sequence
@@ -17,6 +17,13 @@ def reads(df: DataFrame) -> DataFrame:
     return rows.groupBy("read_id").agg(*(F.min(c).alias(c) for c in ("mate_id", "category", "seq")))
 
 
+def leading_references(reads: DataFrame, is_reference: Column) -> DataFrame:
+    """(references): how many reads there are before the first that is no reference, by read_id."""
+    known = reads.select("read_id", F.coalesce(is_reference, F.lit(False)).alias("is_reference"))
+    first = known.agg(F.min(F.when(~F.col("is_reference"), F.col("read_id"))).alias("first"))
+    return known.join(F.broadcast(first), F.col("first").isNull() | (F.col("read_id") < F.col("first"))).agg(F.count("*").alias("references"))
+
+
 def detached(reads: DataFrame, k: int) -> DataFrame:
     """(read_id, category): the reads of pairs one of which is shorter than `k`, with the even category that they get instead."""
     paired = reads.where("category % 2 = 1 and mate_id is not null")

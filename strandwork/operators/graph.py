@@ -21,6 +21,18 @@ def arcs_of_reads(occ: DataFrame, nodes: DataFrame, heavy: list | None = None) -
     return steps.unionByName(twins).groupBy("src", "dst").agg(F.count("*").alias("multiplicity"))
 
 
+def stats(nodes: DataFrame) -> DataFrame:
+    """(contigs, kmers, longest, n50): one row; half of all k-mers lie in contigs of n50 k-mers or more."""
+    sized = nodes.where("len > 0").select("len")
+    # by length first: as many rows as there are lengths, however many contigs
+    by_len = sized.groupBy("len").agg(F.count("*").alias("n"), F.sum("len").alias("k"))
+    longer = Window.orderBy(F.desc("len"))
+    total = F.sum("k").over(Window.partitionBy(F.lit(1)))
+    rows = by_len.withColumn("upto", F.sum("k").over(longer)).withColumn("total", total)
+    half = F.max(F.when(F.col("upto") * 2 >= F.col("total"), F.col("len"))).cast("long")
+    return rows.agg(F.sum("n").alias("contigs"), F.sum("k").alias("kmers"), F.max("len").cast("long").alias("longest"), half.alias("n50"))
+
+
 def one_place_a_run(places: DataFrame, slack: int) -> DataFrame:
     """(read_id, node_id, pos, off): of the places of a read on a contig, the first of each run.
 

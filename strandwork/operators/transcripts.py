@@ -455,17 +455,20 @@ def used_reads(occ: DataFrame, laid: DataFrame, least: int, heavy: list | None =
 
 
 def read_mappings(laid: DataFrame, occ: DataFrame, k: int, heavy: list | None = None) -> DataFrame:
-    """(transcript_id, read_id, same, start, finish, contigs): where reads lie along transcripts.
+    """(transcript_id, read_id, same, start, finish, contigs, low, high): where reads lie along transcripts.
 
     Consecutive contigs of a transcript that a read has, all on the same or all on the other strand (`same`), are
-    one mapping; a contig that the read has not begins a new one. Places are bases of the transcript, from 1. The reads
-    of a contig with very many (`heavy`) are spread over tasks.
+    one mapping; a contig that the read has not begins a new one. Places are bases of the transcript, from 1; low and
+    high count the k-mers of the read before and up to the end of the mapping. The reads of a contig with very many
+    (`heavy`) are spread over tasks.
     """
-    rows = laid.select("transcript_id", "ord", "node_id", (F.col("finish") - F.col("gap") - F.col("len")).alias("start"), (F.col("finish") - F.col("gap")).alias("finish"), F.abs("node_id").alias("contig"))
-    reads = occ.select("read_id", F.abs("node_id").alias("contig"), (F.col("node_id") > 0).alias("forward")).distinct()
-    hits = salted(reads, rows, "contig", "inner", heavy).select("transcript_id", "read_id", ((F.col("node_id") > 0) == F.col("forward")).alias("same"), "ord", "start", "finish").distinct()
+    rows = laid.select("transcript_id", "ord", "node_id", "len", (F.col("finish") - F.col("gap") - F.col("len")).alias("start"), (F.col("finish") - F.col("gap")).alias("finish"), F.abs("node_id").alias("contig"))
+    reads = occ.groupBy("read_id", F.abs("node_id").alias("contig"), (F.col("node_id") > 0).alias("forward")).agg(F.min(F.struct("off", "pos")).alias("first"))
+    hits = salted(reads, rows, "contig", "inner", heavy).select(
+        "transcript_id", "read_id", ((F.col("node_id") > 0) == F.col("forward")).alias("same"), "ord", "start", "finish", "first.off", (F.col("first.off") + F.col("len") - F.col("first.pos")).alias("upto")
+    )
     along = Window.partitionBy("transcript_id", "read_id", "same").orderBy("ord")
     new = F.when(F.lag("ord").over(along) == F.col("ord") - 1, 0).otherwise(1)
     runs = hits.withColumn("new", new).withColumn("run", F.sum("new").over(along))
     grouped = runs.groupBy("transcript_id", "read_id", "same", "run")
-    return grouped.agg((F.min("start") - (k - 2)).alias("start"), F.max("finish").alias("finish"), F.count("*").alias("contigs")).drop("run")
+    return grouped.agg((F.min("start") - (k - 2)).alias("start"), F.max("finish").alias("finish"), F.count("*").alias("contigs"), F.min("off").alias("low"), F.max("upto").alias("high")).drop("run")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandwork.operators import loci, scaffold, splicing, transcripts
+from strandwork.operators import graph, loci, scaffold, splicing, transcripts
 from strandwork.plans.graph_queries import _EXPECTED_CTE, Inputs, _expected
+from strandwork.plans.locus_queries import MAPPED
 from strandwork.plans.prelude import K, with_
 from strandwork.sources import sinks
 from strandwork.sources.tables import table
@@ -80,14 +80,7 @@ def assembly_messages(spark, folder):
 
 def assembly_stats(spark, folder):
     """Contigs, their k-mers, the longest, and the length at which half of all k-mers lie in contigs at least as long."""
-    nodes = Inputs(spark, folder).nodes.where("len > 0").select("len")
-    # by length first: as many rows as there are lengths, however many contigs
-    by_len = nodes.groupBy("len").agg(F.count("*").alias("n"), F.sum("len").alias("k"))
-    longer = Window.orderBy(F.desc("len"))
-    total = F.sum("k").over(Window.partitionBy(F.lit(1)))
-    rows = by_len.withColumn("upto", F.sum("k").over(longer)).withColumn("total", total)
-    half = F.max(F.when(F.col("upto") * 2 >= F.col("total"), F.col("len"))).cast("long")
-    return rows.agg(F.sum("n").alias("contigs"), F.sum("k").alias("kmers"), F.max("len").cast("long").alias("longest"), half.alias("n50"))
+    return graph.stats(Inputs(spark, folder).nodes)
 
 
 QUERIES = {
@@ -140,6 +133,8 @@ SQL = {
           n0, x.id as n1, y.id as n2, n3 from h where y.len < {2 * K - 1} and n3 is not null
         union all select locus_id, 'alternative_polyA', n0, x.id, y.id, null from h where y.len >= {2 * K - 1} and regexp_matches(s0, 'AATAAA|ATTAAA') and regexp_matches(x.seq, 'AATAAA|ATTAAA')
         union all select locus_id, 'mutually_exclusive_exons', n0, x.id, y.id, n3 from h where y.len >= {2 * K - 1} and n3 is not null""",
+    "mapping_lines": f"""{with_('n', 'p', 'occ', 'reads', 'laid')}, {MAPPED}
+        select transcript_id, start, concat_ws(chr(9), transcript_id, start, finish, read_id, case when same then '+' else '-' end) as value from mapped""",
     "assembly_stats": f"""{with_('n')}, l as (select len, sum(len) over (order by len desc, node_id) as upto, sum(len) over () as total from n where len > 0)
         select count(*) as contigs, cast(sum(len) as bigint) as kmers, cast(max(len) as bigint) as longest, cast(max(len) filter (upto * 2 >= total) as bigint) as n50 from l""",
 }

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandwork.operators import loci, transcripts
+from strandwork.functions import dna
+from strandwork.operators import clean, loci, transcripts
 from strandwork.plans.graph_queries import Inputs
 from strandwork.plans.prelude import K, with_
+from strandwork.sources import sinks
 
 
 def _active(i: Inputs):
@@ -187,13 +189,31 @@ def reference_mapping(spark, folder):
     return transcripts.read_mappings(_laid(i), i.occ.join(references, "read_id", "left_semi"), K, i.heavy)
 
 
+def reference_alignments(spark, folder):
+    """Lines of the mappings of `reference_mapping`, with places on the references as the headers of the reads give them."""
+    i = Inputs(spark, folder)
+    unpaired = i._table("test_reads", "read_id", "name", "category", "len").where("category % 2 = 0 and read_id is not null")
+    named = unpaired.groupBy("read_id").agg(F.min("name").alias("name"), F.min("len").alias("len"))
+    header = F.when(F.col("read_id") % 4 == 0, F.concat_ws("", "name", F.lit(":"), F.col("len") + 9, F.lit("-10"))).otherwise(F.concat_ws("", "name", F.lit(":5-"), F.col("len") + 4))
+    places = dna.reference_coordinates(header)
+    references = named.select("read_id", places["name"].alias("name"), places["start"].alias("ref_start"), places["finish"].alias("ref_finish"), places["positive_strand"].alias("positive_strand"))
+    laid = i.scratch.keep(_laid(i))
+    mappings = transcripts.read_mappings(laid, i.occ.join(references.select("read_id"), "read_id", "left_semi"), K, i.heavy)
+    return sinks.alignments(mappings, references, transcripts.numbered(transcripts.lengths(laid), 100), K)
+
+
+def reference_prefix(spark, folder):
+    """How many reads of an even category come before the first of another."""
+    return clean.leading_references(Inputs(spark, folder).mates, F.col("category") % 2 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         loci_components, locus_sizes, loci_extended, extended_sizes, stop_codon_counts, locus_orientation, reverted_loci, locus_edges,
         locus_degree_histogram, locus_shape, nearest_incoming, locus_sinks, simple_transcripts, dp_heaviest_path, dp_transcripts, transcript_gaps, unexplained_contigs,
         heaviest_unused_node, contig_ordering, gap_runs, transcript_lengths, numbered_transcripts, transcript_sequences, contained_paths,
-        orphan_paths, merge_loci, merge_transcripts, used_reads, unused_reads, reference_mapping,
+        orphan_paths, merge_loci, merge_transcripts, used_reads, unused_reads, reference_mapping, reference_alignments, reference_prefix,
     )
 }
 
@@ -220,6 +240,14 @@ _HIST = """ends as (select locus_id, src as node_id, 1 as o, 0 as i from edges u
 _LINKS = """path_steps as (select transcript_id, unnest(node_path) as node_id, unnest(range(len(node_path))) as ord from p),
     on_u as (select transcript_id, ord, abs(node_id) as c from path_steps where abs(node_id) in (select node_id from u)),
     links as (select distinct c as a, nxt as b from (select c, lead(c) over (partition by transcript_id order by ord) as nxt from on_u) where nxt is not null and nxt <> c)"""
+MAPPED = f"""ref as (select read_id, node_id, min(off) as off, arg_min(pos, (off, pos)) as pos from occ join reads using (read_id) where category % 2 = 0 group by 1, 2),
+    hits as (select l.transcript_id, l.ord, l.finish - l.gap - l.len as start, l.finish - l.gap as finish, r.read_id, sign(r.node_id) = sign(l.node_id) as same, r.off, r.off + l.len - r.pos as upto
+      from laid l join ref r on abs(r.node_id) = abs(l.node_id)),
+    marked as (select *, case when lag(ord) over w = ord - 1 then 0 else 1 end as new from hits window w as (partition by transcript_id, read_id, same order by ord)),
+    runs as (select *, sum(new) over (partition by transcript_id, read_id, same order by ord) as run from marked),
+    mapped as (select transcript_id, read_id, same, min(start) - {K - 2} as start, max(finish) as finish, count(*) as contigs, min(off) as low, max(upto) as high
+      from runs group by transcript_id, read_id, same, run)"""
+
 # every way from a contig without an edge into it; the loci of the tables have no cycles
 _WAYS = """weighed as (select locus_id, src, dst, max(coalesce(weight, 0)) as weight from edges where src <> dst group by 1, 2, 3),
     way as (select distinct locus_id, src as node_id, 0.0::double as score, [src] as path from weighed e
@@ -314,12 +342,17 @@ SQL = {
     "used_reads": f"""{with_('n', 'p', 'occ', 'reads', 'laid')}, {_USED} select (select count(*) from used) as used, (select count(seq) from reads) as all_reads,
         (select count(distinct locus_id) from (select locus_id, transcript_id from laid group by 1, 2 having max(finish) >= 100)) as loci""",
     "unused_reads": f"{with_('n', 'p', 'occ', 'reads', 'laid')}, {_USED} select read_id, seq from reads where seq is not null and read_id not in (select read_id from used)",
-    "reference_mapping": f"""{with_('n', 'p', 'occ', 'reads', 'laid')},
-        ref as (select occ.* from occ join reads using (read_id) where category % 2 = 0),
-        hits as (select l.transcript_id, l.ord, l.finish - l.gap - l.len as start, l.finish - l.gap as finish, r.read_id, sign(r.node_id) = sign(l.node_id) as same, r.off
-          from laid l join ref r on abs(r.node_id) = abs(l.node_id)),
-        marked as (select *, case when lag(ord) over w = ord - 1 then 0 else 1 end as new from (select distinct transcript_id, read_id, same, ord, start, finish from hits)
-          window w as (partition by transcript_id, read_id, same order by ord)),
-        runs as (select *, sum(new) over (partition by transcript_id, read_id, same order by ord) as run from marked)
-        select transcript_id, read_id, same, min(start) - {K - 2} as start, max(finish) as finish, count(*) as contigs from runs group by transcript_id, read_id, same, run""",
+    "reference_mapping": f"{with_('n', 'p', 'occ', 'reads', 'laid')}, {MAPPED} select transcript_id, read_id, same, start, finish, contigs, low, high from mapped",
+    "reference_alignments": f"""{with_('n', 'p', 'occ', 'reads', 'laid')}, {MAPPED},
+        num as (select locus_id, transcript_id, row_number() over (partition by locus_id order by transcript_id desc) as j
+          from (select locus_id, transcript_id from laid group by 1, 2 having max(finish) >= 100)),
+        named as (select read_id, coalesce(min(name), '') as name, read_id % 4 <> 0 as positive, case when read_id % 4 = 0 then 10 else 5 end as s, min(len) + case when read_id % 4 = 0 then 9 else 4 end as f
+          from test_reads where category % 2 = 0 group by 1),
+        lines as (select locus_id, j, start, finish, name, case when same and positive then s + low when same then f - low + {K - 1} when positive then s + high + {K - 1} else f - high end as first,
+          case when same and positive then s + high + {K - 2} when same then f - high + 1 when positive then s + low + 1 else f - low + {K} end as last
+          from mapped join named using (read_id) join num using (transcript_id))
+        select locus_id, j, start, printf('%d' || chr(9) || '%d' || chr(9) || '%s' || chr(9) || '%d' || chr(9) || '%d', start, finish, name, first, last) as value from lines
+        union all select locus_id, j, 0, printf('>Locus_%d_Transcript_%d', locus_id, j) from num""",
+    "reference_prefix": f"""{with_('reads')} select count(*) as "references" from reads
+        where read_id < coalesce((select min(read_id) from reads where not coalesce(category % 2 = 0, false)), 9223372036854775807)""",
 }

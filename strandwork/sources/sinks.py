@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.functions.dna import wrap
+from strandwork.functions.dna import on_reference, wrap
 
 #: The words of the splicing events in the event export.
 EVENT_WORDS = {
@@ -113,6 +113,29 @@ def mapping_lines(mappings: DataFrame) -> DataFrame:
     return mappings.select("transcript_id", "start", line.alias("value"))
 
 
+def report(stats: DataFrame, reads: DataFrame, used: DataFrame) -> DataFrame:
+    """(line, value): contigs, their N50, longest and all k-mers, and how many of the reads lie on transcripts."""
+    all_, some = reads.agg(F.count("seq").alias("all_reads")), used.agg(F.count("*").alias("used"))
+    size = ("contigs", *(F.coalesce(c, F.lit(0)) for c in ("n50", "longest", "kmers")))
+    counts = stats.select(F.lit(1).alias("line"), _line("%d contigs, n50 %d, longest %d, %d k-mers", *size).alias("text"))
+    share = all_.withColumn("line", F.lit(1)).join(some.withColumn("line", F.lit(1)), "line").select("line", _line("%d of %d reads used", "used", "all_reads").alias("more"))
+    return counts.join(share, "line").select("line", F.concat_ws("\n", "text", "more").alias("value"))
+
+
+def alignments(mappings: DataFrame, references: DataFrame, numbered: DataFrame, k: int) -> DataFrame:
+    """(locus_id, j, start, value): of each numbered transcript a header and a line for each place where a reference lies along it.
+
+    A line holds first and last base of the transcript, the reference's name, and first and last place on it. `references`
+    is (read_id, name, ref_start, ref_finish, positive_strand). Lines are rows, headers have start 0.
+    """
+    kept = numbered.select("transcript_id", "locus_id", "j")
+    rows = mappings.join(references, "read_id").join(kept, "transcript_id")
+    first, last = on_reference(F.col("same"), F.col("low"), F.col("high"), F.col("ref_start"), F.col("ref_finish"), F.col("positive_strand"), k)
+    line = _line("%d\t%d\t%s\t%d\t%d", "start", "finish", "name", first, last)
+    heads = kept.select("locus_id", "j", F.lit(0).cast("long").alias("start"), _line(">Locus_%d_Transcript_%d", "locus_id", "j").alias("value"))
+    return heads.unionByName(rows.select("locus_id", "j", "start", line.alias("value")))
+
+
 def messages(libraries: DataFrame, reads: DataFrame, laid: DataFrame, occ: DataFrame, k: int) -> DataFrame:
     """(kind, id, value): an assembly as messages: LIB, FRG (pairs), RED (reads), CTG (gap-free runs), SCF (transcripts), TLE (read placements).
 

@@ -5,7 +5,7 @@ import pytest
 from strandwork.__main__ import arguments, libraries_of, main, options_of
 from strandwork.config import AssemblyOptions
 from strandwork.plans.pipeline import assemble, contigs, merge, place_reads
-from strandwork.sources.fasta import pair_up, read_fasta
+from strandwork.sources.fasta import pair_up, read_fasta, read_numbered_fasta
 from strandwork.sources.sinks import reads_fasta, write_text
 
 TURN = str.maketrans("ACGT", "TGCA")
@@ -95,6 +95,45 @@ def test_command_line(spark, tmp_path, reads):
     assert read_fasta(spark, f"{out}/unused-reads.fa").count() < reads.count()
 
 
+def test_ids_in_the_order_of_the_file_and_its_splits(spark, tmp_path):
+    (tmp_path / "b.fa").write_text("".join(f">r{i}\n{'ACGT' * (i % 9 + 1)}\n" for i in range(1, 400)))
+    (tmp_path / "c.fa").write_text(">r400\nAC\n>r401\t7\t3\nGT\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+    found = read_numbered_fasta(spark, str(tmp_path), 1).collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.id, r.name, r.category) for r in found) == [(i, f"r{i}", 3 if i == 401 else 1) for i in range(1, 402)]
+    (tmp_path / "c.fa").write_text(">x\t7\t3\nGT\n>y\t9\t2\nGT\n")
+    assert sorted((r.id, r.name) for r in read_numbered_fasta(spark, str(tmp_path / "c.fa")).collect()) == [(7, "x"), (9, "y")]
+
+
+def test_command_line_on_plain_headers(spark, tmp_path, reads):
+    """Names only: pairs follow each other, and both isoforms and where a reference lies on them come out."""
+    (tmp_path / "in").mkdir()
+    rows = reads.orderBy("read_id").collect()
+    (tmp_path / "in" / "a.fa").write_text("".join(f">{r.name}\n{r.seq}\n" for r in rows))
+    one, other = isoforms()
+    (tmp_path / "in" / "b.fa").write_text(f">gene:100-{99 + len(one)}\t{len(rows) + 1}\t6\n{one}\n")
+    main([str(tmp_path / "in"), str(tmp_path / "out"), "--category", "1", "--coverage-cutoff", "2", "--insert", "1:200:10", "--alignments"])
+    found = read_fasta(spark, str(tmp_path / "out" / "transcripts.fa")).collect()
+    assert {min(r.seq, turned(r.seq)) for r in found if len(r.seq) >= 600} == {min(s, turned(s)) for s in (one, other)}
+    lines = [r.value.split("\t") for r in spark.read.text(str(tmp_path / "out" / "transcript-alignments.psa")).where("value not like '>%'").collect()]
+    assert {("gene", "100", str(99 + len(one)))} <= {(name, *sorted((first, last), key=int)) for _, _, name, first, last in lines}
+    report = [r.value for r in spark.read.text(str(tmp_path / "out" / "report.txt")).collect()]
+    assert report[0].startswith("4 contigs, n50") and report[1].endswith(f"of {len(rows) + 1} reads used")
+
+
+def test_a_file_that_is_not_there(spark, tmp_path):
+    with pytest.raises(SystemExit, match="PATH_NOT_FOUND"):
+        main([str(tmp_path / "none.fa"), str(tmp_path / "out")])
+
+
+def test_command_line_merges_only(spark, tmp_path):
+    one, other = isoforms()
+    (tmp_path / "t.fa").write_text(f">a\n{one}\n>b\n{turned(one[40:500])}\n>c\n{other}\n")
+    main([str(tmp_path / "t.fa"), str(tmp_path / "out"), "--merge-only", "--merge-k", "27"])
+    assert {r.seq for r in read_fasta(spark, str(tmp_path / "out" / "transcripts.fa")).collect()} == {one, other}
+
+
 def test_arguments(spark):
     args = arguments(["in", "out", "--k", "19", "21", "--insert", "1:200", "3:500:40", "--min-pair-count", "2"])
     options = options_of(args)
