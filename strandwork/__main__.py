@@ -63,7 +63,9 @@ def export(found: Assembly, reads: DataFrame, libraries: DataFrame, out: str, op
     sinks.write_text(sinks.report(graph.stats(found.nodes), reads, used), f"{out}/report.txt", "line")
     numbered = transcripts.numbered(transcripts.lengths(laid), options.min_transcript_length)
     sinks.write_text(sinks.transcripts_fasta(numbered, found.sequences, found.transcripts), f"{out}/transcripts.fa", "locus_id", "j")
-    sinks.write_text(sinks.contig_ordering(numbered, laid, found.transcripts, options.k), f"{out}/contig-ordering.txt", "locus_id", "j")
+    records = sinks.locus_contigs_fasta(found.members, found.nodes).select("locus_id", F.lit(0).alias("j"), "ord", "node_id", "value")
+    order = sinks.contig_ordering(numbered, laid, found.transcripts, options.k).withColumns({"ord": F.lit(0), "node_id": F.lit(0)})
+    sinks.write_text(records.unionByName(order), f"{out}/contig-ordering.txt", "locus_id", "j", "ord", "node_id")
     if unused_reads:
         sinks.write_text(sinks.reads_fasta(reads.join(used, "read_id", "left_anti")), f"{out}/unused-reads.fa", "read_id")
     if alignments:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.shared import Scratch, lookup
+from strandwork.shared import Scratch, lookup, numbered_within
 
 
 def arcs_of_reads(occ: DataFrame, nodes: DataFrame, heavy: list | None = None) -> DataFrame:
@@ -61,9 +61,37 @@ def unique_nodes(nodes: DataFrame, arcs: DataFrame, unique_length: int = 50, cut
     return rows.where((F.col("len") > unique_length) & (F.col("outdeg") <= cutoff) & (F.col("indeg") <= cutoff))
 
 
-def low_coverage_nodes(nodes: DataFrame, cutoff: float) -> DataFrame:
-    """Nodes whose coverage per k-mer is below `cutoff`; nodes of length 0 are skipped."""
-    return nodes.where((F.col("len") > 0) & (F.col("cov") / F.col("len") < cutoff)).select("node_id", "len", "cov")
+def low_coverage_nodes(nodes: DataFrame, cutoff: float, keep: DataFrame | None = None) -> DataFrame:
+    """Nodes whose coverage per k-mer is below `cutoff`; nodes of length 0 and those of `keep` are skipped."""
+    low = nodes.where((F.col("len") > 0) & (F.col("cov") / F.col("len") < cutoff)).select("node_id", "len", "cov")
+    return low if keep is None else low.join(keep, "node_id", "left_anti")
+
+
+def nodes_of_reads(occ: DataFrame, reads: DataFrame) -> DataFrame:
+    """(node_id): contigs that one of `reads` lies on, on either strand."""
+    return occ.join(reads, "read_id", "left_semi").select(F.abs("node_id").alias("node_id")).distinct()
+
+
+def total_coverage(nodes: DataFrame, occ: DataFrame, long_reads: DataFrame, k: int) -> DataFrame:
+    """(node_id, coverage): the coverage of short reads and the k-mers of `long_reads` (read_id, seq) that lie on each contig.
+
+    A long read lies on a contig from its place on, to the end of the one or the other.
+    """
+    size = long_reads.select("read_id", F.greatest(F.length("seq") - (k - 1), F.lit(0)).alias("kmers"))
+    hits = occ.join(size, "read_id").select("pos", "off", "kmers", F.abs("node_id").alias("node_id"))
+    # what all places of a contig lack to its length is not known before the contig is, so places are kept apart as they are
+    spans = hits.groupBy("node_id", "pos", "off", "kmers").agg(F.count("*").alias("n")).join(nodes.select("node_id", "len"), "node_id")
+    covered = F.greatest(F.least(F.col("len") - F.col("pos"), F.col("kmers") - F.col("off")), F.lit(0))
+    more = spans.groupBy("node_id").agg(F.sum(covered * F.col("n")).alias("more"))
+    return nodes.join(more, "node_id", "left").select("node_id", (F.col("cov") + F.coalesce("more", F.lit(0))).alias("coverage"))
+
+
+def seed_order(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(node_id, indeg, place): all oriented contigs by the arcs that lead to them, fewest first, ties by signed id; from 1."""
+    into = arcs.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("indeg"))
+    both = nodes.select("node_id").unionByName(nodes.select((-F.col("node_id")).alias("node_id")))
+    rows = both.join(into, "node_id", "left").select(F.lit(0).alias("all"), "node_id", F.coalesce("indeg", F.lit(0)).alias("indeg"))
+    return numbered_within(rows, "all", "place", "indeg", "node_id").drop("all")
 
 
 def dubious_reads(occ: DataFrame, dropped: DataFrame, heavy: list | None = None) -> DataFrame:
@@ -72,14 +100,23 @@ def dubious_reads(occ: DataFrame, dropped: DataFrame, heavy: list | None = None)
     return lookup(placed, dropped.select("node_id"), "node_id", "left_semi", heavy).select("read_id").distinct()
 
 
-def low_fraction_arcs(arcs: DataFrame, fraction: float) -> DataFrame:
-    """Arcs with less than `fraction` of the multiplicity that leaves their source (sums come from all arcs, before any is dropped)."""
+def low_fraction_arcs(arcs: DataFrame, fraction: float, among: DataFrame | None = None) -> DataFrame:
+    """Arcs, of those `among` if given, with less than `fraction` of the multiplicity that leaves their source (sums come from all arcs, before any is dropped)."""
     total = arcs.groupBy("src").agg(F.sum("multiplicity").alias("total"))
-    return arcs.join(total, "src").where(F.col("multiplicity") < F.col("total") * fraction)
+    weak = arcs.join(total, "src").where(F.col("multiplicity") < F.col("total") * fraction)
+    return weak if among is None else weak.join(among, ["src", "dst"], "left_semi")
+
+
+def reads_along(occ: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(read_id): reads that lie on both contigs of an arc, as it leads."""
+    first = lookup(occ.select("read_id", F.col("node_id").alias("src")), arcs.groupBy("src").agg(F.collect_set("dst").alias("dst")), "src", "inner")
+    steps = first.select("read_id", F.explode("dst").alias("node_id")).distinct()
+    return steps.join(occ.select("read_id", "node_id").distinct(), ["read_id", "node_id"], "left_semi").select("read_id").distinct()
 
 
-def tips(nodes: DataFrame, arcs: DataFrame, k: int) -> DataFrame:
-    """Nodes shorter than 2k, by their own length, without an arc on one side."""
+def tips(nodes: DataFrame, arcs: DataFrame, k: int, keep: DataFrame | None = None) -> DataFrame:
+    """Nodes shorter than 2k, by their own length, without an arc on one side; those of `keep` are none."""
+    nodes = nodes if keep is None else nodes.join(keep, "node_id", "left_anti")
     signed = nodes.select("node_id", "len").unionByName(nodes.select((-F.col("node_id")).alias("node_id"), "len"))
     out = arcs.groupBy("src").agg(F.count("*").alias("out"))
     dead = signed.join(out, signed.node_id == out.src, "left").where("out is null and len < 2 * %d" % k)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strandwork.functions.dna import REVERSE_STOPS, STOPS, codon_count
 from strandwork.operators.clean import both_ways
 from strandwork.operators.similarity import merge_map, moved_ends, simple_bubbles
-from strandwork.shared import Scratch, heavy_keys, lookup
+from strandwork.shared import Scratch, heavy_keys, lookup, numbered_within
 
 
 def least_linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,6 +131,14 @@ def simplified(members: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, m
         members = scratch.keep(left.agg(F.min_by("node_id", F.struct("ord", "node_id")).alias("node_id"), F.min("ord").alias("ord"), F.bool_or("is_long").alias("is_long")).drop("contig"))
 
 
+def renumbered(members: DataFrame, dropped: DataFrame) -> DataFrame:
+    """`members` without the contigs of `dropped` (node_id), on either strand; `ord` counts the others from 0 in their order."""
+    gone = dropped.select(F.col("node_id").alias("contig"))
+    left = members.withColumn("contig", F.abs("node_id")).join(gone, "contig", "left_anti").select("locus_id", "node_id", F.col("ord").alias("was"), "is_long")
+    placed = numbered_within(left, "locus_id", "place", "was", "node_id")
+    return placed.select("locus_id", "node_id", (F.col("place") - 1).cast("int").alias("ord"), "is_long")
+
+
 def locus_edges(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(locus_id, src, dst, distance, weight): active connections between two oriented contigs of one locus; dst follows src."""
     steps = both_ways(pairs.where("active")).select("src", (-F.col("dst")).alias("dst"), "distance", "weight")

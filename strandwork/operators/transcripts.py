@@ -354,6 +354,14 @@ def layout(paths: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     )
 
 
+def distance_marks(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(transcript_id, ord, node_id, start, finish): the k-mers of a path before and up to the end of each contig; unknown contigs have none."""
+    steps = paths.select("transcript_id", F.posexplode("node_path").alias("ord", "node_id"))
+    sized = steps.join(nodes.select(F.col("node_id").alias("contig"), "len"), F.abs("node_id") == F.col("contig"), "left")
+    finish = F.sum(F.coalesce("len", F.lit(0))).over(Window.partitionBy("transcript_id").orderBy("ord"))
+    return sized.select("transcript_id", "ord", "node_id", (finish - F.coalesce("len", F.lit(0))).alias("start"), finish.alias("finish"))
+
+
 def lengths(laid: DataFrame) -> DataFrame:
     """(locus_id, transcript_id, contigs, length) of `layout`."""
     return laid.groupBy("locus_id", "transcript_id").agg(F.count("*").alias("contigs"), F.max("finish").alias("length"))

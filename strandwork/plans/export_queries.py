@@ -43,6 +43,11 @@ def removed_contigs_fasta(spark, folder):
     return sinks.contigs_fasta(nodes)
 
 
+def locus_contig_records(spark, folder):
+    i = Inputs(spark, folder)
+    return sinks.locus_contigs_fasta(i.members, i.nodes)
+
+
 def locus_graphs(spark, folder):
     i = Inputs(spark, folder)
     return sinks.locus_graphs(i.members, i.pairs)
@@ -85,7 +90,7 @@ def assembly_stats(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (transcript_fasta, contig_order_lines, unused_reads_fasta, removed_contigs_fasta, locus_graphs, connection_report, splice_events, splice_event_lines, mapping_lines, assembly_messages, assembly_stats)
+    for f in (transcript_fasta, contig_order_lines, unused_reads_fasta, removed_contigs_fasta, locus_contig_records, locus_graphs, connection_report, splice_events, splice_event_lines, mapping_lines, assembly_messages, assembly_stats)
 }
 
 _WRAP = "rtrim(regexp_replace({}, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10))"
@@ -95,6 +100,18 @@ _MILLI = "case when confidence is null or isnan(confidence) then 0 else cast(flo
 _HEAD = f"printf('>Locus_%d_Transcript_%d/%d_Confidence_%d.%03d_Length_%d', num.locus_id, j, num.n, ({_MILLI}) // 1000, ({_MILLI}) % 1000, {{}}) || chr(10)"
 _RC = "reverse(translate(regexp_replace({}, '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA'))"
 
+_EVENTS = f"""{with_('n', 'm', 'pairs', 'both', 'edges')}, out_ as (select locus_id, src, count(*) as c, min(dst) as one, max(dst) as two from edges group by 1, 2),
+        s as (select node_id as id, seq, {_RC.format('seq')} as rc, len from n where seq is not null union all select -node_id, {_RC.format('seq')}, {_RC.format(_RC.format('seq'))}, len from n where seq is not null),
+        f as (select o.locus_id, o.src as n0, z.seq as s0, case when b.len > a.len then b else a end as x, case when b.len > a.len then a else b end as y
+          from out_ o join s z on z.id = o.src join s a on a.id = o.one join s b on b.id = o.two where o.c = 2),
+        g as (select f.*, case when p.one = q.one then p.one end as n3 from f left join out_ p on p.locus_id = f.locus_id and p.src = x.id and p.c = 1
+          left join out_ q on q.locus_id = f.locus_id and q.src = y.id and q.c = 1 where x.len >= {2 * K - 1}),
+        h as (select g.*, contains(right(s0, 3) || substr(x.seq, {K}, 5), 'GT') as donor, contains(right(t.rc, 3) || substr(x.rc, {K}, 5), 'CA') as acceptor from g left join s t on t.id = n3)
+        select locus_id, case when donor and acceptor then 'intron_retention' when donor then 'alternative_5prime_splice' when acceptor then 'alternative_3prime_splice' else 'skipped_exon' end as event,
+          n0, x.id as n1, y.id as n2, n3 from h where y.len < {2 * K - 1} and n3 is not null
+        union all select locus_id, 'alternative_polyA', n0, x.id, y.id, null from h where y.len >= {2 * K - 1} and regexp_matches(s0, 'AATAAA|ATTAAA') and regexp_matches(x.seq, 'AATAAA|ATTAAA')
+        union all select locus_id, 'mutually_exclusive_exons', n0, x.id, y.id, n3 from h where y.len >= {2 * K - 1} and n3 is not null"""
+
 SQL = {
     "transcript_fasta": f"""{with_('n', 'p', 'laid')}, {_NUMBERED}, o as (select l.transcript_id, l.ord, lag(l.gap) over (partition by transcript_id order by ord) as before,
           case when l.node_id > 0 then seq else reverse(translate(seq, 'ACGT', 'TGCA')) end as seq, count(seq) over (partition by transcript_id) as have, count(*) over (partition by transcript_id) as all_
@@ -115,6 +132,9 @@ SQL = {
         from reads join names using (read_id) where seq is not null and read_id not in (select read_id from used)""",
     "removed_contigs_fasta": f"""{with_('n')} select node_id, printf('>NODE_%d_Length_%d_Coverage_%d', node_id, len, cov) || chr(10) || {_WRAP.format('seq')} as value
         from n where len > 0 and cov / len < 3.0 and seq is not null""",
+    "locus_contig_records": f"""{with_('n', 'm')} select locus_id, ord, m.node_id, printf('>Locus_%d_Node_%d', locus_id, abs(m.node_id)) || chr(10)
+          || {_WRAP.format("case when m.node_id > 0 then seq else reverse(translate(seq, 'ACGT', 'TGCA')) end")} as value
+        from m join n on n.node_id = abs(m.node_id) where seq is not null""",
     "locus_graphs": f"""{with_('m', 'pairs', 'both')}, s as (select a.locus_id, c.src, -c.dst as to_, c.* exclude (src) from m a join both_ways c on c.src = a.node_id join m b on b.locus_id = a.locus_id and b.node_id = -c.dst)
         select locus_id, 1 as part, cast(node_id as varchar) as value from m
         union all select locus_id, 2, case when active then printf('%d -> %d [label="%d_%d_%d"]', src, to_, cast(floor(distance) as bigint), paired_count, direct_count) else printf('%d -> %d [label="XXX"]', src, to_) end from s
@@ -122,17 +142,10 @@ SQL = {
     "connection_report": f"""{with_('n', 'occ', 'reads', 'lib', 'pairs')}, {_EXPECTED_CTE}
         select src, dst, concat_ws(chr(9), src, dst, direct_count, paired_count, expected, case when weight >= 0.1 and paired_count + direct_count >= 4
           and case when len_dst <= 50 or expected = 0 then direct_count > 0 else paired_count >= expected * 0.1 end then 'OK' else 'NG' end) as value from expect""",
-    "splice_events": f"""{with_('n', 'm', 'pairs', 'both', 'edges')}, out_ as (select locus_id, src, count(*) as c, min(dst) as one, max(dst) as two from edges group by 1, 2),
-        s as (select node_id as id, seq, {_RC.format('seq')} as rc, len from n where seq is not null union all select -node_id, {_RC.format('seq')}, {_RC.format(_RC.format('seq'))}, len from n where seq is not null),
-        f as (select o.locus_id, o.src as n0, z.seq as s0, case when b.len > a.len then b else a end as x, case when b.len > a.len then a else b end as y
-          from out_ o join s z on z.id = o.src join s a on a.id = o.one join s b on b.id = o.two where o.c = 2),
-        g as (select f.*, case when p.one = q.one then p.one end as n3 from f left join out_ p on p.locus_id = f.locus_id and p.src = x.id and p.c = 1
-          left join out_ q on q.locus_id = f.locus_id and q.src = y.id and q.c = 1 where x.len >= {2 * K - 1}),
-        h as (select g.*, contains(right(s0, 3) || substr(x.seq, {K}, 5), 'GT') as donor, contains(right(t.rc, 3) || substr(x.rc, {K}, 5), 'CA') as acceptor from g left join s t on t.id = n3)
-        select locus_id, case when donor and acceptor then 'intron_retention' when donor then 'alternative_5prime_splice' when acceptor then 'alternative_3prime_splice' else 'skipped_exon' end as event,
-          n0, x.id as n1, y.id as n2, n3 from h where y.len < {2 * K - 1} and n3 is not null
-        union all select locus_id, 'alternative_polyA', n0, x.id, y.id, null from h where y.len >= {2 * K - 1} and regexp_matches(s0, 'AATAAA|ATTAAA') and regexp_matches(x.seq, 'AATAAA|ATTAAA')
-        union all select locus_id, 'mutually_exclusive_exons', n0, x.id, y.id, n3 from h where y.len >= {2 * K - 1} and n3 is not null""",
+    "splice_events": _EVENTS,
+    "splice_event_lines": f"""select locus_id, n0, printf('[%s] %d %d %d %s', case event when 'mutually_exclusive_exons' then 'MEE' when 'skipped_exon' then 'SE'
+          when 'alternative_5prime_splice' then 'a5p' when 'alternative_3prime_splice' then 'a3p' when 'intron_retention' then 'IR' else 'aPS' end,
+          n0, n1, n2, coalesce(cast(n3 as varchar), '-')) as value from ({_EVENTS})""",
     "mapping_lines": f"""{with_('n', 'p', 'occ', 'reads', 'laid')}, {MAPPED}
         select transcript_id, start, concat_ws(chr(9), transcript_id, start, finish, read_id, case when same then '+' else '-' end) as value from mapped""",
     "assembly_stats": f"""{with_('n')}, l as (select len, sum(len) over (order by len desc, node_id) as upto, sum(len) over () as total from n where len > 0)

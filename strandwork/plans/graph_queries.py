@@ -119,6 +119,45 @@ def tips_fixpoint(spark, folder):
     return graph.clip_tips(i.nodes, i.arcs, K)
 
 
+def _long_reads(i: Inputs) -> DataFrame:
+    """Reads of an even category, taken for long ones."""
+    return i.mates.where("category % 2 = 0").select("read_id")
+
+
+def coverage_cutoff_keeping_long(spark, folder):
+    """Nodes of low coverage that no long read lies on."""
+    i = Inputs(spark, folder)
+    return graph.low_coverage_nodes(i.nodes, 3.0, graph.nodes_of_reads(i.occ, _long_reads(i)))
+
+
+def tips_keeping_long(spark, folder):
+    i = Inputs(spark, folder)
+    return graph.tips(i.nodes, i.arcs, K, graph.nodes_of_reads(i.occ, _long_reads(i)))
+
+
+def low_fraction_arcs_of_long(spark, folder):
+    """Weak arcs that a long read goes along."""
+    i = Inputs(spark, folder)
+    along = graph.arcs_of_reads(i.occ.join(_long_reads(i), "read_id", "left_semi"), i.nodes, i.heavy)
+    return graph.low_fraction_arcs(i.arcs, 0.1, along.select("src", "dst")).select("src", "dst", "multiplicity", "total")
+
+
+def reads_along_weak_arcs(spark, folder):
+    i = Inputs(spark, folder)
+    return graph.reads_along(i.scratch.keep(i.occ), i.scratch.keep(graph.low_fraction_arcs(i.arcs, 0.1)))
+
+
+def total_coverage(spark, folder):
+    """Coverage of each node by short reads and by reads of an even category."""
+    i = Inputs(spark, folder)
+    return graph.total_coverage(i.nodes, i.occ, i.reads.where("category % 2 = 0 and seq is not null"), K)
+
+
+def seed_order(spark, folder):
+    i = Inputs(spark, folder)
+    return graph.seed_order(i.nodes, i.arcs)
+
+
 def minority_tips(spark, folder):
     i = Inputs(spark, folder)
     return graph.minority_tips(i.nodes, i.arcs, K)
@@ -248,7 +287,8 @@ QUERIES = {
         node_arcs, node_degrees, unique_nodes, coverage_cutoff, dubious_reads, trusted_occurrences, low_fraction_arcs, tips_round1, tips_fixpoint,
         unipaths, joined_contigs, shared_reads_between_nodes, read_occurrences, ambiguous_occurrences, occurrences_per_read, direct_connections, paired_connections,
         merged_connections, connection_weights, local_connections, paired_read_density, expected_connections, reliable_connections,
-        gapped_connections, direct_only_connections, connections_by_distance, transitive_edges, simple_bubbles, minority_tips,
+        gapped_connections, direct_only_connections, connections_by_distance, transitive_edges, simple_bubbles, minority_tips, coverage_cutoff_keeping_long, tips_keeping_long,
+        low_fraction_arcs_of_long, reads_along_weak_arcs, total_coverage, seed_order,
         merged_bubbles, merged_bubble_nodes, merged_bubble_occurrences,
     )
 }
@@ -294,6 +334,39 @@ SQL = {
         where multiplicity < total * 0.1""",
     "tips_round1": f"""{with_('n', 'occ', 'arcs')} select distinct abs(node_id) as node_id from (select node_id, len from n union all select -node_id, len from n)
         where len < {2 * K} and node_id not in (select src from arcs)""",
+    "coverage_cutoff_keeping_long": f"""{with_('n', 'occ', 'reads')} select node_id, len, cov from n where len > 0 and cov / len < 3.0
+        and node_id not in (select abs(node_id) from occ join reads using (read_id) where category % 2 = 0)""",
+    "tips_keeping_long": f"""{with_('n', 'occ', 'reads', 'arcs')} select distinct abs(node_id) as node_id from (select node_id, len from n union all select -node_id, len from n)
+        where len < {2 * K} and node_id not in (select src from arcs) and abs(node_id) not in (select abs(node_id) from occ join reads using (read_id) where category % 2 = 0)""",
+    "low_fraction_arcs_of_long": f"""{with_('n', 'occ', 'reads', 'arcs')}, along as (select src, dst from (
+          select node_id as src, lead(node_id) over (partition by read_id order by off, pos, node_id) as dst from known join reads using (read_id) where category % 2 = 0) where dst is not null)
+        select src, dst, multiplicity, total from (select *, cast(sum(multiplicity) over (partition by src) as bigint) as total from arcs) a
+        where multiplicity < total * 0.1 and exists (select 1 from along l where (l.src = a.src and l.dst = a.dst) or (l.src = -a.dst and l.dst = -a.src))""",
+    "reads_along_weak_arcs": f"""{with_('n', 'occ', 'arcs')}, weak as (select src, dst from (select *, sum(multiplicity) over (partition by src) as total from arcs) where multiplicity < total * 0.1)
+        select distinct a.read_id from occ a join weak on weak.src = a.node_id join occ b on b.read_id = a.read_id and b.node_id = weak.dst""",
+    "total_coverage": f"""{with_('n', 'occ', 'reads')}, more as (select n.node_id, sum(greatest(least(len - pos, greatest(length(r.seq) - {K - 1}, 0) - off), 0)) as more
+          from occ join reads r using (read_id) join n on n.node_id = abs(occ.node_id) where category % 2 = 0 and r.seq is not null group by 1)
+        select node_id, cast(cov + coalesce(more, 0) as bigint) as coverage from n left join more using (node_id)""",
+    "seed_order": f"""{with_('n', 'occ', 'arcs')}, d as (select node_id, coalesce(indeg, 0) as indeg from (select node_id from n union all select -node_id from n)
+          left join (select dst as node_id, count(*) as indeg from arcs group by 1) using (node_id))
+        select node_id, indeg, row_number() over (order by indeg, node_id) as place from d""",
+    "tips_fixpoint": f"""{with_('n', 'occ', 'arcs', recursive=True)}, rounds as (
+          select 0 as r, node_id, len from n
+          union all
+          select r + 1, node_id, len from rounds c
+          where not (len < {2 * K} and (not exists (select 1 from arcs a join rounds d on d.node_id = abs(a.dst) where a.src = c.node_id)
+              or not exists (select 1 from arcs a join rounds d on d.node_id = abs(a.dst) where a.src = -c.node_id)))
+            and exists (select 1 from rounds t where t.len < {2 * K} and (not exists (select 1 from arcs a join rounds d on d.node_id = abs(a.dst) where a.src = t.node_id)
+              or not exists (select 1 from arcs a join rounds d on d.node_id = abs(a.dst) where a.src = -t.node_id))))
+        select node_id, len from rounds where r = (select max(r) from rounds)""",
+    "unipaths": f"""{with_('n', 'occ', 'arcs', recursive=True)}, links as (select src, dst from arcs where abs(src) <> abs(dst)
+          and src in (select src from arcs group by 1 having count(*) = 1) and dst in (select dst from arcs group by 1 having count(*) = 1)),
+        walk as (select src as chain, src as node_id, 0 as step from links where src not in (select dst from links)
+          union all select chain, dst, step + 1 from walk join links on src = node_id),
+        round_ as (select src as chain, src as node_id, 0 as step from links where src not in (select node_id from walk)
+          union all select chain, dst, step + 1 from round_ join links on src = node_id where dst <> chain),
+        ring as (select chain from round_ group by 1 having chain = min(node_id))
+        select node_id, chain, step from walk union all select node_id, chain, step from round_ where chain in (select chain from ring)""",
     "minority_tips": f"""{with_('n', 'occ', 'arcs')}, dead as (select node_id from (select node_id, len from n union all select -node_id, len from n)
           where len < {2 * K} and node_id not in (select src from arcs)),
         ranked as (select src, dst, count(*) over (partition by src) as branches, count(*) over (partition by dst) as n,

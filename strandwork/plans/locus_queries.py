@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandwork.functions import dna
-from strandwork.operators import clean, loci, transcripts
+from strandwork.operators import clean, graph, loci, transcripts
 from strandwork.plans.graph_queries import Inputs
 from strandwork.plans.prelude import K, with_
 from strandwork.sources import sinks
@@ -189,6 +189,17 @@ def reference_mapping(spark, folder):
     return transcripts.read_mappings(_laid(i), i.occ.join(references, "read_id", "left_semi"), K, i.heavy)
 
 
+def path_distance_marks(spark, folder):
+    i = Inputs(spark, folder)
+    return transcripts.distance_marks(i.paths, i.nodes)
+
+
+def renumbered_loci(spark, folder):
+    """Loci without their contigs of low coverage, numbered anew."""
+    i = Inputs(spark, folder)
+    return loci.renumbered(i.members, graph.low_coverage_nodes(i.nodes, 3.0))
+
+
 def reference_alignments(spark, folder):
     """Lines of the mappings of `reference_mapping`, with places on the references as the headers of the reads give them."""
     i = Inputs(spark, folder)
@@ -213,7 +224,7 @@ QUERIES = {
         loci_components, locus_sizes, loci_extended, extended_sizes, stop_codon_counts, locus_orientation, reverted_loci, locus_edges,
         locus_degree_histogram, locus_shape, nearest_incoming, locus_sinks, simple_transcripts, dp_heaviest_path, dp_transcripts, transcript_gaps, unexplained_contigs,
         heaviest_unused_node, contig_ordering, gap_runs, transcript_lengths, numbered_transcripts, transcript_sequences, contained_paths,
-        orphan_paths, merge_loci, merge_transcripts, used_reads, unused_reads, reference_mapping, reference_alignments, reference_prefix,
+        orphan_paths, merge_loci, merge_transcripts, used_reads, unused_reads, reference_mapping, reference_alignments, reference_prefix, path_distance_marks, renumbered_loci,
     )
 }
 
@@ -353,6 +364,27 @@ SQL = {
           from mapped join named using (read_id) join num using (transcript_id))
         select locus_id, j, start, printf('%d' || chr(9) || '%d' || chr(9) || '%s' || chr(9) || '%d' || chr(9) || '%d', start, finish, name, first, last) as value from lines
         union all select locus_id, j, 0, printf('>Locus_%d_Transcript_%d', locus_id, j) from num""",
+    "path_distance_marks": f"""{with_('n', 'p')}, s as (select transcript_id, unnest(node_path) as node_id, unnest(range(len(node_path))) as ord from p)
+        select transcript_id, cast(ord as int) as ord, s.node_id, cast(sum(coalesce(len, 0)) over (partition by transcript_id order by ord) - coalesce(len, 0) as bigint) as start,
+          cast(sum(coalesce(len, 0)) over (partition by transcript_id order by ord) as bigint) as finish from s left join n on n.node_id = abs(s.node_id)""",
+    "renumbered_loci": f"""{with_('n', 'm')} select locus_id, node_id, cast(row_number() over (partition by locus_id order by ord, node_id) - 1 as int) as ord, is_long
+        from m where abs(node_id) not in (select node_id from n where len > 0 and cov / len < 3.0)""",
+    "simple_transcripts": f"""{with_('m', 'pairs', 'both', 'edges', recursive=True)}, {_HIST},
+        shaped as (select locus_id, case when d0 = 2 and d2 = 0 and d3 = 0 then 'LINEAR' when d0 = 3 and d2 = 1 and d3 = 0 then 'FORK' when d0 = 2 and d2 = 2 and d3 = 0 then 'BUBBLE' end as shape from hist),
+        near as (select locus_id, dst as node_id, max(src) filter (r = 1) as first, max(src) filter (r = 2) as second
+          from (select *, row_number() over (partition by locus_id, dst order by distance nulls first, src) as r from edges) group by 1, 2),
+        sink as (select locus_id, node_id, row_number() over (partition by locus_id order by ord, node_id) as number
+          from m where not exists (select 1 from edges e where e.locus_id = m.locus_id and e.src = m.node_id)),
+        tails as (select locus_id, shape, max(node_id) filter (number = 1) as one, max(node_id) filter (number = 2) as two from sink join shaped using (locus_id) where shape is not null group by 1, 2),
+        start as (select locus_id, 1 as walk, one as node_id, shape, two from tails
+          union all select locus_id, 2, case when shape = 'FORK' and two is not null then two else one end, shape, two from tails
+            where shape <> 'LINEAR' and (two is null or shape in ('FORK', 'BUBBLE'))),
+        back as (select locus_id, walk, node_id, [node_id] as path, shape = 'FORK' and two is not null as apart from start
+          union all select b.locus_id, walk, case when walk = 1 or apart then first else coalesce(second, first) end,
+            list_prepend(case when walk = 1 or apart then first else coalesce(second, first) end, path), apart
+          from back b join near on near.locus_id = b.locus_id and near.node_id = b.node_id
+          where not list_contains(path, case when walk = 1 or apart then first else coalesce(second, first) end))
+        select locus_id, walk, arg_max(path, len(path)) as node_path from back group by 1, 2""",
     "reference_prefix": f"""{with_('reads')} select count(*) as "references" from reads
         where read_id < coalesce((select min(read_id) from reads where not coalesce(category % 2 = 0, false)), 9223372036854775807)""",
 }

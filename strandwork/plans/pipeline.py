@@ -130,7 +130,7 @@ def without(dropped: DataFrame, nodes: DataFrame, arcs: DataFrame, occ: DataFram
 def covered(reads: DataFrame, options: AssemblyOptions) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(nodes, arcs, occ, dubious): the corrected contigs of all k-mers whose mean coverage reaches the cutoff.
 
-    `dubious` are the reads that lie on a contig dropped for its coverage; their places on other contigs stay in `occ`.
+    `dubious` are the reads that lie on a contig dropped for its coverage, or along a weak arc; their places on other contigs stay in `occ`.
     """
     scratch = Scratch(reads.sparkSession)
     raw, places = contigs(reads, replace(options, coverage_cutoff=1))
@@ -141,6 +141,7 @@ def covered(reads: DataFrame, options: AssemblyOptions) -> tuple[DataFrame, Data
     weak = scratch.keep(graph.low_fraction_arcs(arcs, options.edge_fraction_cutoff).select("src", "dst"))
     twins = weak.unionByName(weak.select((-F.col("dst")).alias("src"), (-F.col("src")).alias("dst"))).distinct()
     strong = scratch.keep(arcs.join(twins, ["src", "dst"], "left_anti"))
+    dubious = scratch.keep(dubious.unionByName(graph.reads_along(occ, twins)).distinct())
     nodes, arcs, occ = corrected(nodes, strong, occ, options)
     return nodes, arcs, occ, dubious
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwork.functions.dna import on_reference, wrap
+from strandwork.shared import lookup
 
 #: The words of the splicing events in the event export.
 EVENT_WORDS = {
@@ -45,6 +46,14 @@ def transcripts_fasta(numbered: DataFrame, sequences: DataFrame, confidences: Da
     return rows.select("locus_id", "j", F.concat_ws("\n", head, wrap(F.col("seq"), line)).alias("value"))
 
 
+def locus_contigs_fasta(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(locus_id, ord, node_id, value): FASTA records of the contigs of each locus, as they lie in it; those without bases are left out."""
+    known = nodes.where("seq is not null").select(F.col("node_id").alias("contig"), "seq")
+    rows = lookup(members.withColumn("contig", F.abs("node_id")), known, "contig", "inner")
+    bases = F.when(F.col("node_id") > 0, F.col("seq")).otherwise(F.reverse(F.translate("seq", "ACGT", "TGCA")))
+    return rows.select("locus_id", "ord", "node_id", F.concat_ws("\n", _line(">Locus_%d_Node_%d", "locus_id", "contig"), wrap(bases)).alias("value"))
+
+
 def contig_ordering(numbered: DataFrame, laid: DataFrame, confidences: DataFrame, k: int) -> DataFrame:
     """(locus_id, j, value): a header and the line `node:end-(gap)->...` of each numbered transcript.
 
