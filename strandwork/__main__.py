@@ -75,7 +75,7 @@ def export(found: Assembly, reads: DataFrame, libraries: DataFrame, out: str, op
         mappings = transcripts.read_mappings(laid, found.occurrences.join(references, "read_id", "left_semi"), options.k)
         sinks.write_text(sinks.alignments(mappings, named, numbered, options.k), f"{out}/transcript-alignments.psa", "locus_id", "j", "start")
     if messages:
-        sinks.write_text(sinks.messages(libraries, reads, laid, found.occurrences, options.k), f"{out}/messages.afg", "kind", "id")
+        sinks.write_text(sinks.messages(libraries, reads, laid.join(numbered.select("transcript_id"), "transcript_id", "left_semi"), found.occurrences, found.nodes, options.k), f"{out}/messages.afg", "kind", "id")
 
 
 def export_merged(found: DataFrame, sequences: DataFrame, out: str, options: AssemblyOptions) -> None:

@@ -79,7 +79,7 @@ def assembly_messages(spark, folder):
     """How many messages of each kind an export has, and their letters."""
     i = Inputs(spark, folder)
     laid = i.scratch.keep(transcripts.layout(i.paths, i.nodes, K))
-    all_ = sinks.messages(i.libraries, i.reads, laid, i.occ, K)
+    all_ = sinks.messages(i.libraries, i.reads, laid, i.occ, i.nodes, K, i.heavy)
     return all_.groupBy("kind").agg(F.count("*").alias("messages"), F.sum(F.length("value")).alias("letters"))
 
 
@@ -148,6 +148,27 @@ SQL = {
           n0, n1, n2, coalesce(cast(n3 as varchar), '-')) as value from ({_EVENTS})""",
     "mapping_lines": f"""{with_('n', 'p', 'occ', 'reads', 'laid')}, {MAPPED}
         select transcript_id, start, concat_ws(chr(9), transcript_id, start, finish, read_id, case when same then '+' else '-' end) as value from mapped""",
+    "assembly_messages": f"""{with_('n', 'p', 'occ', 'reads', 'lib', 'laid')},
+        runs as (select *, row_number() over (order by locus_id, transcript_id, run) as iid from (
+          select locus_id, transcript_id, run, sum(len) as kmers, min(finish - gap - len) as begin, min(ord) as first from laid group by 1, 2, 3)),
+        named as (select l.*, iid, begin, first, n.seq as given from laid l join runs using (locus_id, transcript_id, run) join n on n.node_id = abs(l.node_id)),
+        spelled as (select iid, count(given) = count(*) as whole,
+            ltrim(string_agg(substr(case when node_id > 0 then given else reverse(translate(given, 'ACGT', 'TGCA')) end, case when ord = first then 1 else {K} end), '' order by ord), 'N') as seq
+          from named group by 1),
+        pr as (select r.* from reads r join lib using (category) where mate_id is not null),
+        tiled as (select locus_id, transcript_id, string_agg(printf('{{TLE|off:%d|clr:0,%d|src:%d|}}|', cast(begin + (run - 1) * {K - 1} as bigint), cast(kmers + {K - 1} as bigint), iid), '' order by run) as tiles from runs group by 1, 2),
+        hits as (select iid, o.read_id, coalesce(length(r.seq), 0) as span, o.node_id = l.node_id as same,
+            l.finish - l.gap - l.len - begin + case when o.node_id = l.node_id then pos - off else l.len - pos + off - coalesce(length(r.seq), 0) + {K - 1} end as spot
+          from named l join occ o on abs(o.node_id) = abs(l.node_id) left join reads r on r.read_id = o.read_id),
+        told as (select '1LIB' as kind, printf('{{LIB|iid:%d|{{DST|mea:%d|std:%d|}}|}}', cast(category // 2 + 1 as bigint), cast(floor(mean) as bigint), cast(floor(sd) as bigint)) as value from lib
+          union all select '2FRG', printf('{{FRG|lib:%d|rds:%d,%d|eid:%d|iid:%d|typ:I|}}', cast(category // 2 + 1 as bigint), read_id, mate_id, read_id, read_id) from pr where mate_id > read_id
+          union all select '3RED', printf('{{RED|iid:%d|eid:%d|', read_id, read_id) || case when mate_id is not null and category in (select category from lib) then printf('frg:%d|', least(read_id, mate_id)) else '' end
+            || 'seq:|' || {_WRAP.format('seq')} || '|.|qlt:|' || {_WRAP.format('seq')} || '|.|}}' from reads where seq is not null
+          union all select '4CTG', printf('{{CTG|iid:%d|eid:%d-%d-%d|seq:|', iid, locus_id, transcript_id, run) || {_WRAP.replace('60', '61').format('seq')} || '|.|qlt:|'
+            || {_WRAP.replace('60', '61').format("repeat('I', length(seq))")} || '|.|}}' from runs join spelled using (iid) where whole
+          union all select '5SCF', printf('{{SCF|eid:%d-%d|', locus_id, transcript_id) || tiles || '}}' from tiled
+          union all select '6TLE', printf('{{TLE|ctg:%d|src:%d|off:%d|clr:%d,%d|}}', iid, read_id, spot, case when same then 0 else span end, case when same then span else 0 end) from hits)
+        select kind, count(*) as messages, cast(sum(length(value)) as bigint) as letters from told group by 1""",
     "assembly_stats": f"""{with_('n')}, l as (select len, sum(len) over (order by len desc, node_id) as upto, sum(len) over () as total from n where len > 0)
         select count(*) as contigs, cast(sum(len) as bigint) as kmers, cast(max(len) as bigint) as longest, cast(max(len) filter (upto * 2 >= total) as bigint) as n50 from l""",
 }

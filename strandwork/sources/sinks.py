@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwork.functions.dna import on_reference, wrap
-from strandwork.shared import lookup
+from strandwork.operators.transcripts import sequences
+from strandwork.shared import Scratch, lookup, numbered_within, salted
 
 #: The words of the splicing events in the event export.
 EVENT_WORDS = {
@@ -145,34 +146,52 @@ def alignments(mappings: DataFrame, references: DataFrame, numbered: DataFrame,
     return heads.unionByName(rows.select("locus_id", "j", "start", line.alias("value")))
 
 
-def messages(libraries: DataFrame, reads: DataFrame, laid: DataFrame, occ: DataFrame, k: int) -> DataFrame:
+def messages(libraries: DataFrame, reads: DataFrame, laid: DataFrame, occ: DataFrame, nodes: DataFrame, k: int, heavy: list | None = None) -> DataFrame:
     """(kind, id, value): an assembly as messages: LIB, FRG (pairs), RED (reads), CTG (gap-free runs), SCF (transcripts), TLE (read placements).
 
-    Reads are laid on runs by their contig's place, those on its other strand with a clear range from end to begin; qualities are not known and given as one letter.
+    Pairs count if their library is known; what is on their reads repeats the bases as qualities, runs have one letter.
+    Scaffolds hold a tile a run. Reads are laid on runs by their contig's place, those on its other strand with a clear range
+    from end to begin, in messages of their own that name the run. Runs are numbered by locus, transcript and place. The
+    reads of a contig with very many (`heavy`) are spread over tasks.
     """
-    lib = libraries.select(F.lit("1LIB").alias("kind"), F.col("category").cast("long").alias("id"), _line("{LIB\niid:%d\n{DST\nmea:%d\nstd:%d\n}\n}", "category", F.floor("mean"), F.floor("sd")).alias("value"))
-    pairs = reads.where("mate_id > read_id")
-    frg = pairs.select(F.lit("2FRG").alias("kind"), F.col("read_id").alias("id"), _line("{FRG\nrds:%d,%d\nlib:%d\ntyp:I\n}", "read_id", "mate_id", F.coalesce("category", F.lit(0))).alias("value"))
-    seqs = reads.where("seq is not null")
-    red = seqs.select(F.lit("3RED").alias("kind"), F.col("read_id").alias("id"), F.concat(_line("{RED\niid:%d\nseq:\n", "read_id"), wrap(F.col("seq")), F.lit("\n.\nqlt:\n"), wrap(F.repeat(F.lit("D"), F.length("seq"))), F.lit("\n.\n}")).alias("value"))
-    runs = laid.groupBy("transcript_id", "run").agg((F.sum("len") + (k - 1)).alias("length"))
-    ctg = runs.select(F.lit("4CTG").alias("kind"), F.col("transcript_id").alias("id"), _line("{CTG\neid:%d-%d\nlen:%d\n}", "transcript_id", "run", "length").alias("value"))
-    scf = runs.groupBy("transcript_id").agg(F.count("*").alias("runs")).select(F.lit("5SCF").alias("kind"), F.col("transcript_id").alias("id"), _line("{SCF\neid:%d\nruns:%d\n}", "transcript_id", "runs").alias("value"))
-    first = laid.groupBy("transcript_id", "run").agg(F.min(F.col("finish") - F.col("gap") - F.col("len")).alias("begin"))
-    on = laid.join(first, ["transcript_id", "run"]).select("transcript_id", "run", "node_id", "len", (F.col("finish") - F.col("gap") - F.col("len") - F.col("begin")).alias("at"), F.abs("node_id").alias("contig"))
+    number = F.floor(F.col("category") / 2) + 1
+    lib = libraries.select(F.lit("1LIB").alias("kind"), F.col("category").cast("long").alias("id"), _line("{LIB\niid:%d\n{DST\nmea:%d\nstd:%d\n}\n}", number, F.floor("mean"), F.floor("sd")).alias("value"))
+    paired = reads.where("mate_id is not null").join(F.broadcast(libraries.select("category")), "category", "left_semi")
+    pairs = paired.where("mate_id > read_id")
+    frg = pairs.select(F.lit("2FRG").alias("kind"), F.col("read_id").alias("id"), _line("{FRG\nlib:%d\nrds:%d,%d\neid:%d\niid:%d\ntyp:I\n}", number, "read_id", "mate_id", "read_id", "read_id").alias("value"))
+    known = reads.join(F.broadcast(libraries.select("category", F.lit(True).alias("known"))), "category", "left").where("seq is not null")
+    fragment = F.when(F.col("known") & F.col("mate_id").isNotNull(), _line("frg:%d\n", F.least("read_id", "mate_id")))
+    red = known.select(
+        F.lit("3RED").alias("kind"), F.col("read_id").alias("id"), F.concat(_line("{RED\niid:%d\neid:%d\n", "read_id", "read_id"), F.coalesce(fragment, F.lit("")), *(F.concat(F.lit(f"{c}:\n"), wrap(F.col("seq")), F.lit("\n.\n")) for c in ("seq", "qlt")), F.lit("}")).alias("value")
+    )
+    place = F.col("finish") - F.col("gap") - F.col("len")
+    sized = laid.groupBy("locus_id", "transcript_id", "run").agg(F.sum("len").alias("kmers"), F.min(place).alias("begin"), F.min("ord").alias("first"))
+    runs = Scratch(laid.sparkSession).keep(numbered_within(sized.withColumn("all", F.lit(0)), "all", "iid", "locus_id", "transcript_id", "run").drop("all"))
+    named = laid.join(runs.select("transcript_id", "run", "begin", "first", "iid"), ["transcript_id", "run"])
+    pieces = named.select("locus_id", F.col("iid").alias("transcript_id"), (F.col("ord") - F.col("first")).alias("ord"), F.lit(0).cast("long").alias("gap"), "node_id")
+    bases = sequences(pieces, nodes, k).select(F.col("transcript_id").alias("iid"), "seq")
+    eid = _line("eid:%d-%d-%d\n", "locus_id", "transcript_id", "run")
+    ctg = runs.join(bases, "iid").select(
+        F.lit("4CTG").alias("kind"), F.col("iid").alias("id"), F.concat(_line("{CTG\niid:%d\n", "iid"), eid, F.lit("seq:\n"), wrap(F.col("seq"), 61), F.lit("\n.\nqlt:\n"), wrap(F.repeat(F.lit("I"), F.length("seq")), 61), F.lit("\n.\n}")).alias("value")
+    )
+    # every run before has its first k-1 bases besides its k-mers
+    start = (F.col("begin") + (F.col("run") - 1) * (k - 1)).cast("long")
+    tile = F.struct("run", _line("{TLE\noff:%d\nclr:0,%d\nsrc:%d\n}\n", start, F.col("kmers") + (k - 1), "iid").alias("tile"))
+    tiles = runs.groupBy("locus_id", "transcript_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(tile)), lambda s: s["tile"]), "").alias("tiles"))
+    scf = tiles.select(F.lit("5SCF").alias("kind"), F.col("transcript_id").alias("id"), F.concat(_line("{SCF\neid:%d-%d\n", "locus_id", "transcript_id"), "tiles", F.lit("}")).alias("value"))
+    on = named.select("iid", "node_id", "len", (place - F.col("begin")).alias("at"), F.abs("node_id").alias("contig"))
     spans = reads.select("read_id", F.coalesce(F.length("seq"), F.lit(0)).alias("span"))
     hits = occ.select("read_id", F.col("node_id").alias("hit"), "pos", "off", F.abs("node_id").alias("contig")).join(spans, "read_id", "left")
     span = F.coalesce("span", F.lit(0))
     same = F.col("hit") == F.col("node_id")
-    placed = on.join(hits, "contig").select(
-        "transcript_id",
-        "run",
+    placed = salted(hits, on, "contig", "inner", heavy).select(
+        "iid",
         "read_id",
         (F.col("at") + F.when(same, F.col("pos") - F.col("off")).otherwise(F.col("len") - F.col("pos") + F.col("off") - span + k - 1)).alias("off"),
         F.when(same, 0).otherwise(span).alias("clear_from"),
         F.when(same, span).otherwise(0).alias("clear_to"),
     )
-    tle = placed.select(F.lit("6TLE").alias("kind"), F.col("transcript_id").alias("id"), _line("{TLE\nsrc:%d\nctg:%d-%d\noff:%d\nclr:%d,%d\n}", "read_id", "transcript_id", "run", "off", "clear_from", "clear_to").alias("value"))
+    tle = placed.select(F.lit("6TLE").alias("kind"), F.col("iid").alias("id"), _line("{TLE\nctg:%d\nsrc:%d\noff:%d\nclr:%d,%d\n}", "iid", "read_id", "off", "clear_from", "clear_to").alias("value"))
     out = lib
     for part in (frg, red, ctg, scf, tle):
         out = out.unionByName(part)

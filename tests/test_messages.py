@@ -25,7 +25,12 @@ def test_reads_on_both_strands_are_placed(spark):
         spark.createDataFrame(reads, "read_id long, mate_id long, category short, seq string"),
         laid,
         spark.createDataFrame(occ, "read_id long, node_id long, pos long, off long"),
+        nodes,
         k,
-    ).where("kind = '6TLE'")
+    )
+    contig_ = [r.value for r in rows.where("kind = '4CTG'").collect()]
+    assert contig_ == [f"{{CTG\niid:1\neid:1-7-0\nseq:\n{whole}\n.\nqlt:\n{'I' * len(whole)}\n.\n}}"]
+    assert [r.value for r in rows.where("kind = '5SCF'").collect()] == [f"{{SCF\neid:1-7\n{{TLE\noff:0\nclr:0,{len(whole)}\nsrc:1\n}}\n}}"]
+    rows = rows.where("kind = '6TLE'")
     fields = [dict(line.split(":") for line in r.value.split("\n") if ":" in line) for r in rows.collect()]
     assert {int(f["src"]): (int(f["off"]), f["clr"]) for f in fields} == want and len(fields) == 4
