@@ -318,6 +318,28 @@ _EXPECTED_CTE = f"""{_DENSITY_CTE},
     summed as (select src, dst, cast(sum(case when e > 0 then floor(e) else 0 end) as bigint) as e from parts group by 1, 2),
     expect as (select s.*, coalesce(e, 0) as expected from sized s left join summed u on u.src = s.src and u.dst = s.dst)"""
 
+# two contigs between the same two; a row of the table of common lengths is the running maximum of what its cells reach by themselves
+_BUBBLES = f"""next_ as (select src, -dst as dst from both_ways where active),
+    inner_ as (select distinct a.src as source, a.dst as via, b.dst as sink from next_ a join next_ b on b.src = a.dst
+      where a.src <> b.dst and abs(a.src) <> abs(a.dst) and abs(b.dst) <> abs(a.dst) and a.src <= -b.dst),
+    branch as (select source, sink, via, cov, substr(case when via > 0 then seq else reverse(translate(seq, 'ACGT', 'TGCA')) end, {K}) as body,
+        row_number() over (partition by source, sink order by cov desc, abs(via), via desc) as place
+      from inner_ join n on n.node_id = abs(via) where len <= 100 and seq is not null),
+    two as (select x.source, x.sink, x.via as kept, y.via as dropped, x.body as a, y.body as b
+      from branch x join branch y on y.source = x.source and y.sink = x.sink and x.place = 1 and y.place > 1 and y.via <> x.via),
+    common as (select source, sink, kept, dropped, a, b, 0 as i, list_transform(range(0, length(b) + 1), lambda j: 0) as cells from two
+      union all
+      select source, sink, kept, dropped, a, b, i, list_transform(range(1, length(b) + 2), lambda j: list_max(cells[1:j])) from (
+        select source, sink, kept, dropped, a, b, i + 1 as i,
+          list_transform(range(0, length(b) + 1), lambda j: case when j = 0 then 0 else greatest(cells[j + 1], cells[j] + (substr(a, i + 1, 1) = substr(b, j, 1))::int) end) as cells
+        from common where i < length(a))),
+    bubbles as (select source, sink, kept, dropped, coalesce(a <> '' and b <> '' and 1 - list_last(cells) / greatest(length(a), length(b)) <= 0.2
+        and (least(length(a), length(b)) >= {K} or abs(length(a) - length(b)) <= 3), false) as same from common where i = length(a))"""
+_MOVED = """alike as (select abs(dropped) as contig, cast(kept * sign(dropped) as bigint) as goes from bubbles where same and abs(kept) <> abs(dropped)),
+    first_ as (select contig, arg_max(goes, (cov, -node_id, goes)) as goes from alike join n on n.node_id = abs(goes) group by 1),
+    going as (select contig, goes from first_ union all select g.contig, cast(f.goes * sign(g.goes) as bigint) from going g join first_ f on f.contig = abs(g.goes)),
+    moved as (select contig, goes from going where abs(goes) not in (select contig from first_))"""
+
 SQL = {
     "node_arcs": f"{with_('n', 'occ', 'arcs')} select src, dst, multiplicity from arcs",
     "node_degrees": f"""{with_('n', 'occ', 'arcs')} select node_id, cast(sum(o) as bigint) as outdeg, cast(sum(i) as bigint) as indeg
@@ -367,6 +389,16 @@ SQL = {
           union all select chain, dst, step + 1 from round_ join links on src = node_id where dst <> chain),
         ring as (select chain from round_ group by 1 having chain = min(node_id))
         select node_id, chain, step from walk union all select node_id, chain, step from round_ where chain in (select chain from ring)""",
+    "simple_bubbles": f"{with_('n', 'pairs', 'both', recursive=True)}, {_BUBBLES} select source, sink, kept, dropped, same from bubbles",
+    "merged_bubbles": f"{with_('n', 'pairs', 'both', recursive=True)}, {_BUBBLES}, {_MOVED} select contig as dropped, goes as kept from moved",
+    "merged_bubble_nodes": f"""{with_('n', 'pairs', 'both', recursive=True)}, {_BUBBLES}, {_MOVED},
+        more as (select abs(goes) as node_id, sum(cov) as more from moved join n on n.node_id = contig group by 1)
+        select node_id, len, cast(cov + coalesce(more, 0) as bigint) as cov from n left join more using (node_id) where node_id not in (select contig from moved)""",
+    "merged_bubble_occurrences": f"""{with_('n', 'occ', 'pairs', 'both', recursive=True)}, {_BUBBLES}, {_MOVED},
+        scale as (select contig, goes, a.len as was, b.len as is_ from moved join n a on a.node_id = contig join n b on b.node_id = abs(goes))
+        select distinct read_id, cast(case when contig is null then o.node_id else goes * sign(o.node_id) end as bigint) as node_id,
+          cast(case when contig is null then pos else greatest(least(floor(pos * is_ / greatest(was, 1)), is_ - 1), 0) end as bigint) as pos, off
+        from occ o left join scale on contig = abs(o.node_id)""",
     "minority_tips": f"""{with_('n', 'occ', 'arcs')}, dead as (select node_id from (select node_id, len from n union all select -node_id, len from n)
           where len < {2 * K} and node_id not in (select src from arcs)),
         ranked as (select src, dst, count(*) over (partition by src) as branches, count(*) over (partition by dst) as n,

@@ -215,8 +215,8 @@ def loci_on_one_strand(scratch: Scratch, groups: DataFrame, pairs: DataFrame) ->
     steps = steps.unionByName(pairs.select(F.col("dst").alias("src"), (-F.col("src")).alias("dst")))
     steps = scratch.keep(steps.unionByName(steps.select((-F.col("dst")).alias("src"), (-F.col("src")).alias("dst"))).distinct())
     first = groups.groupBy("locus_id").agg(F.min(F.when(F.col("is_long"), F.col("node_id"))).alias("node_id")).where("node_id is not null")
-    reached = scratch.keep(first.select("locus_id", "node_id", F.lit(0).alias("ord")))
-    edge, turn = reached, 0
+    edge = scratch.keep(first.select("locus_id", "node_id", F.lit(0).alias("ord")))
+    reached, before, turn = edge, edge, 0
     ids = scratch.keep(groups)
     while True:
         turn += 1
@@ -224,11 +224,12 @@ def loci_on_one_strand(scratch: Scratch, groups: DataFrame, pairs: DataFrame) ->
         backward = edge.join(steps.select(F.col("dst").alias("node_id"), F.col("src").alias("to")), "node_id")
         near = forward.unionByName(backward).select("locus_id", F.abs("to").alias("contig"), F.col("to").alias("node_id"))
         near = near.join(ids.select("locus_id", F.col("node_id").alias("contig")), ["locus_id", "contig"], "left_semi")
-        fresh = near.join(reached.select("locus_id", F.abs("node_id").alias("contig")), ["locus_id", "contig"], "left_anti")
-        edge = scratch.keep(fresh.groupBy("locus_id", "contig").agg(F.max("node_id").alias("node_id")).select("locus_id", "node_id", F.lit(turn).alias("ord")))
+        # a neighbour of this round's contigs that was reached before is of this round or the last
+        fresh = near.join(edge.unionByName(before).select("locus_id", F.abs("node_id").alias("contig")), ["locus_id", "contig"], "left_anti")
+        before, edge = edge, scratch.keep(fresh.groupBy("locus_id", "contig").agg(F.max("node_id").alias("node_id")).select("locus_id", "node_id", F.lit(turn).alias("ord")))
         if edge.isEmpty():
             break
-        reached = scratch.keep(reached.unionByName(edge))
+        reached = reached.unionByName(edge)
     long_ = ids.select("locus_id", F.col("node_id").alias("contig"), "is_long")
     return reached.withColumn("contig", F.abs("node_id")).join(long_, ["locus_id", "contig"]).select("locus_id", "node_id", "ord", "is_long")
 
