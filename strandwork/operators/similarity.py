@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwork.operators.clean import both_ways
@@ -65,6 +65,89 @@ def simple_bubbles(pairs: DataFrame, nodes: DataFrame, k: int, max_branch: int =
     )
 
 
+def branches(steps: DataFrame, nodes: DataFrame, max_branch: int = 100) -> DataFrame:
+    """(source, sink, one, other): two ways from a fork to a contig, of up to `max_branch` k-mers of contigs between, that share none of these.
+
+    `steps` is (src, dst), with the reverse of each step. From all forks at once ways are followed contig by contig; the
+    way that comes to a contig first, of several in one round the one through the contig of largest coverage, goes on
+    from there, all others are told with it and end. So work grows with what is near a fork, not with the ways there
+    are. A way without a contig between is none; told once, from the strand whose source is smaller.
+    """
+    scratch = Scratch(steps.sparkSession)
+    sized = nodes.where((F.col("len") <= max_branch) & F.col("seq").isNotNull()).select(F.col("node_id").alias("contig"), "len", "cov")
+    next_ = scratch.keep(steps.select("src", "dst").distinct())
+    forks = next_.groupBy("src").agg(F.count("*").alias("n")).where("n > 1").select("src")
+    nothing = F.array().cast("array<bigint>")
+    front = scratch.keep(next_.join(forks, "src").where("abs(src) <> abs(dst)").select(F.col("src").alias("source"), F.col("dst").alias("at"), nothing.alias("way"), F.lit(0).cast("long").alias("size")))
+    best = front
+    told: list[DataFrame] = []
+    while True:
+        grown = front.join(sized, F.abs("at") == F.col("contig")).where(F.col("size") + F.col("len") <= max_branch)
+        grown = grown.select("source", "at", F.concat("way", F.array("at")).alias("way"), (F.col("size") + F.col("len")).cast("long").alias("size"), "cov")
+        moved = grown.join(next_.select(F.col("src").alias("at"), "dst"), "at").where("abs(dst) <> abs(source) and not array_contains(way, dst) and not array_contains(way, -dst)")
+        came = scratch.keep(moved.select("source", F.col("dst").alias("at"), "way", "size", "cov"))
+        if came.isEmpty():
+            break
+        first = came.groupBy("source", "at").agg(F.max_by(F.struct("way", "size"), F.struct("cov", F.reverse("way").alias("back"))).alias("w")).select("source", "at", "w.way", "w.size")
+        front = scratch.keep(first.join(best.select("source", "at"), ["source", "at"], "left_anti"))
+        best = best.unionByName(front)
+        both = came.select("source", "at", F.col("way").alias("other")).join(best.select("source", "at", F.col("way").alias("one")), ["source", "at"])
+        apart = F.expr("one <> other and size(one) > 0 and not arrays_overlap(transform(one, n -> abs(n)), transform(other, n -> abs(n)))")
+        told.append(scratch.keep(both.where(apart & F.expr("source <= -at")).select("source", F.col("at").alias("sink"), "one", "other")))
+    none = best.where("false").select("source", F.col("at").alias("sink"), F.col("way").alias("one"), F.col("way").alias("other"))
+    for part in told:
+        none = none.unionByName(part)
+    return none
+
+
+def branch_bubbles(steps: DataFrame, nodes: DataFrame, k: int, max_branch: int = 100) -> DataFrame:
+    """(source, sink, kept, dropped, same): `branches`, the way of larger mean coverage first, of equals that of the smaller contigs.
+
+    `same` says whether the bases between are similar enough to merge.
+    """
+    found = Scratch(steps.sparkSession).keep(branches(steps, nodes, max_branch).withColumn("id", F.xxhash64("source", "sink", "one", "other")))
+    known = nodes.select(F.col("node_id").alias("contig"), "seq", "len", "cov")
+    sides = []
+    for side in ("one", "other"):
+        inner = found.select("id", F.posexplode(side).alias("i", "via")).withColumn("contig", F.abs("via")).join(known, "contig")
+        read = F.when(F.col("via") > 0, F.col("seq")).otherwise(F.reverse(F.translate("seq", "ACGT", "TGCA")))
+        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.substr(read, F.lit(k)).alias("b")))), lambda s: s["b"]), "")
+        sides.append(inner.groupBy("id").agg(F.struct((F.sum("cov") / F.sum("len")).alias("mean"), body.alias("body")).alias(f"{side}_is")))
+    rows = found.join(sides[0], "id").join(sides[1], "id")
+    mean = lambda side: F.round(F.col(f"{side}_is.mean"), 6)
+    stays = (mean("one") > mean("other")) | ((mean("one") == mean("other")) & (F.col("one") <= F.col("other")))
+    pick = lambda a, b: F.when(stays, F.col(a)).otherwise(F.col(b))
+    return rows.select("source", "sink", pick("one", "other").alias("kept"), pick("other", "one").alias("dropped"), similar(F.col("one_is.body"), F.col("other_is.body"), k).alias("same"))
+
+
+def branch_moves(bubbles: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(moved, inside): of similar ways that do not touch each other, where each dropped contig goes, and the steps of the dropped ways.
+
+    `moved` is (dropped, kept) as that of `merge_map`: a contig goes to the one that lies at the same part of the kept way. Of
+    ways that share a contig one is taken, the others can be found again.
+    """
+    scratch = Scratch(bubbles.sparkSession)
+    alike = scratch.keep(bubbles.where("same").withColumn("id", F.xxhash64("source", "sink", "kept", "dropped")))
+    touched = alike.select("id", F.explode(F.expr("transform(concat(kept, dropped, array(source, sink)), n -> abs(n))")).alias("contig"))
+    least = touched.groupBy("contig").agg(F.min("id").alias("least"))
+    beaten = touched.join(least, "contig").where("id <> least").select("id")
+    taken = scratch.keep(alike.join(beaten, "id", "left_anti"))
+    size = nodes.select(F.col("node_id").alias("contig"), "len")
+
+    def along(side: str) -> DataFrame:
+        at = taken.select("id", F.posexplode(side).alias("i", side)).withColumn("contig", F.abs(side)).join(size, "contig")
+        way = Window.partitionBy("id")
+        upto = F.sum("len").over(way.orderBy("i"))
+        return at.select("id", side, ((upto - F.col("len")) / F.sum("len").over(way)).alias(f"from_{side}"), (upto / F.sum("len").over(way)).alias(f"to_{side}"))
+
+    middle = (F.col("from_dropped") + F.col("to_dropped")) / 2
+    met = along("dropped").join(along("kept"), "id").where((middle >= F.col("from_kept")) & (middle < F.col("to_kept")))
+    moved = met.select(F.abs("dropped").alias("dropped"), (F.col("kept") * F.signum("dropped").cast("long")).alias("kept"))
+    whole = taken.select(F.expr("concat(array(source), dropped, array(sink))").alias("way"))
+    steps = whole.select(F.explode(F.expr("transform(sequence(1, size(way) - 1), i -> struct(way[i - 1] as src, way[i] as dst))")).alias("s")).select("s.src", "s.dst")
+    return scratch.keep(moved), scratch.keep(steps.unionByName(steps.select((-F.col("dst")).alias("src"), (-F.col("src")).alias("dst"))).distinct())
+
+
 def merge_map(bubbles: DataFrame, nodes: DataFrame) -> DataFrame:
     """(dropped, kept): every contig that gives way to a similar one, by positive id, and the signed contig that stays for it.
 

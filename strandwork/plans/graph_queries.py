@@ -262,6 +262,12 @@ def simple_bubbles(spark, folder):
     return similarity.simple_bubbles(i.scratch.keep(i.pairs), i.nodes, K)
 
 
+def branch_bubbles(spark, folder):
+    """Two ways of several contigs between the same two, along arcs."""
+    i = Inputs(spark, folder)
+    return similarity.branch_bubbles(i.arcs, i.scratch.keep(i.nodes), K)
+
+
 def _merged(i: Inputs) -> tuple[DataFrame, DataFrame]:
     nodes = i.scratch.keep(i.nodes)
     return nodes, similarity.merge_map(similarity.simple_bubbles(i.scratch.keep(i.pairs), nodes, K), nodes)
@@ -287,7 +293,7 @@ QUERIES = {
         node_arcs, node_degrees, unique_nodes, coverage_cutoff, dubious_reads, trusted_occurrences, low_fraction_arcs, tips_round1, tips_fixpoint,
         unipaths, joined_contigs, shared_reads_between_nodes, read_occurrences, ambiguous_occurrences, occurrences_per_read, direct_connections, paired_connections,
         merged_connections, connection_weights, local_connections, paired_read_density, expected_connections, reliable_connections,
-        gapped_connections, direct_only_connections, connections_by_distance, transitive_edges, simple_bubbles, minority_tips, coverage_cutoff_keeping_long, tips_keeping_long,
+        gapped_connections, direct_only_connections, connections_by_distance, transitive_edges, simple_bubbles, branch_bubbles, minority_tips, coverage_cutoff_keeping_long, tips_keeping_long,
         low_fraction_arcs_of_long, reads_along_weak_arcs, total_coverage, seed_order,
         merged_bubbles, merged_bubble_nodes, merged_bubble_occurrences,
     )

@@ -97,8 +97,8 @@ def corrected(nodes: DataFrame, arcs: DataFrame, occ: DataFrame, options: Assemb
     """(nodes, arcs, occ) once similar branches are merged and tips are clipped.
 
     After every change unbranched contigs are joined, so branches and tips of several contigs are seen whole: a round
-    joins, merges what is similar and, where nothing is, takes away the tips. Each round but the last has fewer contigs
-    than the one before.
+    joins, merges what is similar and, where nothing is, takes away the tips, and then merges similar branches that have
+    forks of their own. Each round but the last has fewer contigs than the one before.
     """
     scratch = Scratch(nodes.sparkSession)
     while True:
@@ -111,9 +111,15 @@ def corrected(nodes: DataFrame, arcs: DataFrame, occ: DataFrame, options: Assemb
             arcs = scratch.keep(similarity.merged_arcs(arcs, moved))
             continue
         short = scratch.keep(graph.tips(nodes, arcs, options.k))
-        if short.isEmpty():
+        if not short.isEmpty():
+            nodes, arcs, occ = without(short, nodes, arcs, occ)
+            continue
+        moved, inside = similarity.branch_moves(similarity.branch_bubbles(arcs, nodes, options.k, options.max_branch), nodes)
+        if moved.isEmpty():
             return nodes, arcs, occ
-        nodes, arcs, occ = without(short, nodes, arcs, occ)
+        occ = scratch.keep(similarity.merged_occurrences(occ, nodes, moved))
+        nodes = scratch.keep(similarity.merged_nodes(nodes, moved))
+        arcs = scratch.keep(similarity.merged_arcs(arcs.join(inside, ["src", "dst"], "left_anti"), moved).where("src <> dst"))
 
 
 def without(dropped: DataFrame, nodes: DataFrame, arcs: DataFrame, occ: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 import random
 
-from strandwork.operators import clean, graph, loci, scaffold
+from strandwork.operators import clean, graph, loci, scaffold, similarity
 from strandwork.operators.compact import joined_occurrences
 from strandwork.plans.pipeline import contigs, place_reads
 from strandwork.config import AssemblyOptions
@@ -66,6 +66,34 @@ def test_similar_branches_of_a_locus_become_one(spark):
     assert weights == {(1, 2): 4.0, (2, 4): 4.0, (1, 5): 2.0, (5, 4): 2.0}
 
 
+def test_ways_of_several_contigs(spark):
+    """1 goes to 4 by 2, 3 and by 5, 6, 7, which are alike; 6 has a fork to 8, which comes back to 7 in a bubble of its own."""
+    draw = random.Random(6)
+    letters = lambda n: "".join(draw.choice("ACGT") for _ in range(n))
+    k, way = 11, letters(70)
+    changed = way[:33] + ("A" if way[33] != "A" else "C") + way[34:]
+    begin = letters(60)
+    piece = lambda s, a, b: (begin[-k + 1 :] + s)[a : b + k - 1]
+    before_7 = piece(changed, 45, 45)
+    seqs = {1: begin, 2: piece(way, 0, 40), 3: piece(way, 40, 70), 4: way[-k + 1 :] + letters(60), 5: piece(changed, 0, 20), 6: piece(changed, 20, 45), 7: piece(changed, 45, 70)}
+    seqs[8] = before_7 + letters(12) + before_7
+    cov = {n: (10 if n in (2, 3) else 4) * (len(s) - k + 1) for n, s in seqs.items()}
+    nodes = spark.createDataFrame([(n, s, len(s) - k + 1, cov[n]) for n, s in seqs.items()], "node_id long, seq string, len int, cov long")
+    ends = [(1, 2), (2, 3), (3, 4), (1, 5), (5, 6), (6, 7), (7, 4), (6, 8), (8, 7)]
+    steps = spark.createDataFrame([x for a, b in ends for x in ((a, b, 3), (-b, -a, 3))], "src long, dst long, multiplicity long")
+    found = similarity.branch_bubbles(steps, nodes, k)
+    got = {(r.source, r.sink, tuple(r.kept), tuple(r.dropped)): r.same for r in found.collect()}
+    ways = {(s, *sorted((a, b))): same for (_, _, a, b), same in got.items() for s in (1,)}
+    turn = lambda w: tuple(-n for n in reversed(w))
+    long_ = [same for (_, a, b), same in ways.items() if {a, b} in ({(2, 3), (5, 6, 7)}, {turn((2, 3)), turn((5, 6, 7))})]
+    assert long_ == [True]
+    moved, inside = similarity.branch_moves(found, nodes)
+    assert rows(moved) in ([(5, 2), (6, 2), (7, 3)], [(5, 2), (6, 3), (7, 3)])
+    arcs = rows(similarity.merged_arcs(steps.join(inside, ["src", "dst"], "left_anti"), moved).where("src > 0 and src <> dst").select("src", "dst"))
+    assert {(1, 2), (2, 3), (3, 4)} <= set(arcs) and {abs(n) for a in arcs for n in a} == {1, 2, 3, 4, 8}
+    assert similarity.branch_bubbles(steps.where("false"), nodes, k).count() == 0
+
+
 def test_joined_places_of_a_read_that_comes_back(spark):
     members = spark.createDataFrame([(3, 3, 1, 0, 0, 90), (4, 3, 1, 1, 50, 90)], "contig long, stays long, side long, step int, before long, total long")
     nodes = spark.createDataFrame([(3, 50), (4, 40)], "node_id long, len int")
