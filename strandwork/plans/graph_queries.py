@@ -263,9 +263,10 @@ def simple_bubbles(spark, folder):
 
 
 def branch_bubbles(spark, folder):
-    """Two ways of several contigs between the same two, along arcs."""
+    """Two ways of one or several contigs between the same two, along active connections."""
     i = Inputs(spark, folder)
-    return similarity.branch_bubbles(i.arcs, i.scratch.keep(i.nodes), K)
+    steps = clean.both_ways(i.pairs.where("active")).select("src", (-F.col("dst")).alias("dst"))
+    return similarity.branch_bubbles(i.scratch.keep(steps), i.scratch.keep(i.nodes), K)
 
 
 def _merged(i: Inputs) -> tuple[DataFrame, DataFrame]:
@@ -324,7 +325,16 @@ _EXPECTED_CTE = f"""{_DENSITY_CTE},
     summed as (select src, dst, cast(sum(case when e > 0 then floor(e) else 0 end) as bigint) as e from parts group by 1, 2),
     expect as (select s.*, coalesce(e, 0) as expected from sized s left join summed u on u.src = s.src and u.dst = s.dst)"""
 
-# two contigs between the same two; a row of the table of common lengths is the running maximum of what its cells reach by themselves
+# a row of the table of common lengths is the running maximum of what its cells reach by themselves
+_COMMON = f"""common as (select source, sink, kept, dropped, a, b, 0 as i, list_transform(range(0, length(b) + 1), lambda j: 0) as cells from two
+      union all
+      select source, sink, kept, dropped, a, b, i, list_transform(range(1, length(b) + 2), lambda j: list_max(cells[1:j])) from (
+        select source, sink, kept, dropped, a, b, i + 1 as i,
+          list_transform(range(0, length(b) + 1), lambda j: case when j = 0 then 0 else greatest(cells[j + 1], cells[j] + (substr(a, i + 1, 1) = substr(b, j, 1))::int) end) as cells
+        from common where i < length(a))),
+    bubbles as (select source, sink, kept, dropped, coalesce(a <> '' and b <> '' and 1 - list_last(cells) / greatest(length(a), length(b)) <= 0.2
+        and (least(length(a), length(b)) >= {K} or abs(length(a) - length(b)) <= 3), false) as same from common where i = length(a))"""
+# two contigs between the same two
 _BUBBLES = f"""next_ as (select src, -dst as dst from both_ways where active),
     inner_ as (select distinct a.src as source, a.dst as via, b.dst as sink from next_ a join next_ b on b.src = a.dst
       where a.src <> b.dst and abs(a.src) <> abs(a.dst) and abs(b.dst) <> abs(a.dst) and a.src <= -b.dst),
@@ -333,14 +343,37 @@ _BUBBLES = f"""next_ as (select src, -dst as dst from both_ways where active),
       from inner_ join n on n.node_id = abs(via) where len <= 100 and seq is not null),
     two as (select x.source, x.sink, x.via as kept, y.via as dropped, x.body as a, y.body as b
       from branch x join branch y on y.source = x.source and y.sink = x.sink and x.place = 1 and y.place > 1 and y.via <> x.via),
-    common as (select source, sink, kept, dropped, a, b, 0 as i, list_transform(range(0, length(b) + 1), lambda j: 0) as cells from two
-      union all
-      select source, sink, kept, dropped, a, b, i, list_transform(range(1, length(b) + 2), lambda j: list_max(cells[1:j])) from (
-        select source, sink, kept, dropped, a, b, i + 1 as i,
-          list_transform(range(0, length(b) + 1), lambda j: case when j = 0 then 0 else greatest(cells[j + 1], cells[j] + (substr(a, i + 1, 1) = substr(b, j, 1))::int) end) as cells
-        from common where i < length(a))),
-    bubbles as (select source, sink, kept, dropped, coalesce(a <> '' and b <> '' and 1 - list_last(cells) / greatest(length(a), length(b)) <= 0.2
-        and (least(length(a), length(b)) >= {K} or abs(length(a) - length(b)) <= 3), false) as same from common where i = length(a))"""
+    {_COMMON}"""
+
+
+def _ways(rounds: int) -> str:
+    """What comes to each contig in each round, and the ways that go on from there."""
+    parts = [
+        """next_ as (select distinct src, -dst as dst from both_ways where active),
+        front0 as (select src as source, dst as spot, []::bigint[] as way, 0 as size from next_ where abs(src) <> abs(dst) and src in (select src from next_ group by 1 having count(*) > 1)),
+        best0 as (select * from front0)"""
+    ]
+    for r in range(1, rounds + 1):
+        parts.append(f"""came{r} as (select * from (
+            select source, x.dst as spot, list_append(way, f.spot) as way, size + len as size, cov from front{r - 1} f
+            join n on n.node_id = abs(f.spot) and len <= 100 and seq is not null join next_ x on x.src = f.spot)
+          where size <= 100 and abs(spot) <> abs(source) and not list_contains(way, spot) and not list_contains(way, -spot)),
+        front{r} as (select source, spot, way, size from (select *, row_number() over (partition by source, spot order by cov desc, list_reverse(way) desc) as place from came{r}) c
+          where place = 1 and not exists (select 1 from best{r - 1} b where b.source = c.source and b.spot = c.spot)),
+        best{r} as (select * from best{r - 1} union all select * from front{r}),
+        told{r} as (select source, spot as sink, b.way as one, c.way as other from came{r} c join best{r} b using (source, spot)
+          where b.way <> c.way and len(b.way) > 0 and source <= -spot and not list_has_any(list_transform(b.way, lambda x: abs(x)), list_transform(c.way, lambda x: abs(x))))""")
+    told = " union all ".join(f"select * from told{r}" for r in range(1, rounds + 1))
+    return ",\n".join(parts) + f""",
+        told as (select *, row_number() over () as id from ({told})),
+        inner_ as (select id, true as first, unnest(one) as via, unnest(range(len(one))) as i from told union all select id, false, unnest(other), unnest(range(len(other))) from told),
+        side as (select id, first, round(sum(cov) / sum(len), 6) as mean, string_agg(substr(case when via > 0 then seq else reverse(translate(seq, 'ACGT', 'TGCA')) end, {K}), '' order by i) as body
+          from inner_ join n on n.node_id = abs(via) group by 1, 2),
+        judged as (select t.*, x.body as one_body, y.body as other_body, x.mean > y.mean or (x.mean = y.mean and one <= other) as stays
+          from told t join side x on x.id = t.id and x.first join side y on y.id = t.id and not y.first),
+        two as (select source, sink, case when stays then one else other end as kept, case when stays then other else one end as dropped, one_body as a, other_body as b from judged)"""
+
+
 _MOVED = """alike as (select abs(dropped) as contig, cast(kept * sign(dropped) as bigint) as goes from bubbles where same and abs(kept) <> abs(dropped)),
     first_ as (select contig, arg_max(goes, (cov, -node_id, goes)) as goes from alike join n on n.node_id = abs(goes) group by 1),
     going as (select contig, goes from first_ union all select g.contig, cast(f.goes * sign(g.goes) as bigint) from going g join first_ f on f.contig = abs(g.goes)),
@@ -396,6 +429,7 @@ SQL = {
         ring as (select chain from round_ group by 1 having chain = min(node_id))
         select node_id, chain, step from walk union all select node_id, chain, step from round_ where chain in (select chain from ring)""",
     "simple_bubbles": f"{with_('n', 'pairs', 'both', recursive=True)}, {_BUBBLES} select source, sink, kept, dropped, same from bubbles",
+    "branch_bubbles": f"{with_('n', 'pairs', 'both', recursive=True)}, {_ways(12)}, {_COMMON} select source, sink, kept, dropped, same from bubbles",
     "merged_bubbles": f"{with_('n', 'pairs', 'both', recursive=True)}, {_BUBBLES}, {_MOVED} select contig as dropped, goes as kept from moved",
     "merged_bubble_nodes": f"""{with_('n', 'pairs', 'both', recursive=True)}, {_BUBBLES}, {_MOVED},
         more as (select abs(goes) as node_id, sum(cov) as more from moved join n on n.node_id = contig group by 1)
