@@ -84,7 +84,8 @@ def most_frequent(df: DataFrame, value: Column, record: str, n: int, hashes: Has
     """
     rows = df.count()
     buckets = hashes.buckets(rows)
-    values = df.select(value.alias("value"), F.col(record).alias("record")).where("value is not null and record is not null")
+    # as a list of one, so that the value is made once a row and not again for each of its uses
+    values = df.select(F.explode(F.array(value)).alias("value"), F.col(record).alias("record")).where("value is not null and record is not null")
     scratch = Scratch(df.sparkSession)
     counts = scratch.keep(bucket_counts(values, "value", hashes, buckets))
     least = first_threshold(counts, n, buckets, rows)
