@@ -144,7 +144,8 @@ def seen_before(df: DataFrame, order: str, key: Column, settings: ChainSettings
     Left out: rows whose order or key is null. A record may have several rows, one a delivery, whose `seen`
     can be combined by max. An empty table gives an empty result; other columns are not read.
     """
-    rows = df.select(F.col(order).cast("long").alias("order"), key.alias("key")).where("`order` is not null and key is not null")
+    # as a list of one, so that the key is made once a row and not again for each of its uses
+    rows = df.select(F.col(order).cast("long").alias("order"), F.explode(F.array(key)).alias("key")).where("`order` is not null and key is not null")
     rows = rows.select("order", F.xxhash64("key").alias("one"), F.xxhash64(F.lit(1), "key").alias("two"))
     kinds = "order long, one long, two long, sure boolean"
     chunks = rows.mapInArrow(_combine, kinds)
