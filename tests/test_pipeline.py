@@ -91,7 +91,9 @@ def test_command_line(spark, tmp_path, reads):
     found = read_fasta(spark, f"{out}/transcripts.fa").collect()
     assert found and all(any(r.seq in w or turned(r.seq) in w for w in isoforms()) for r in found)
     assert all(r.name.endswith(f"_Length_{len(r.seq)}") for r in found)
-    assert spark.read.text(f"{out}/contig-ordering.txt").where("value like '>%'").count() == len(found)
+    heads = spark.read.text(f"{out}/contig-ordering.txt").where("value like '>%'")
+    assert heads.where("value like '>Locus_%_Transcript_%'").count() == len(found)
+    assert heads.where("value like '>Locus_%_Node_%'").count() == 4  # before the exon, the exon, the join without it, after it
     assert read_fasta(spark, f"{out}/unused-reads.fa").count() < reads.count()
 
 
